@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termweave.llm import mixing, simhash
+from termweave.llm import mixing, packing, simhash, token_files
 
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -15,7 +15,12 @@ SELECT source, source_size, CASE WHEN w * level >= cap THEN cap ELSE least(cap,
 
 
 def queries() -> dict:
-    return {"op4_simhash": simhash.op4_simhash, "op9_mixing": mixing.op9_mixing}
+    return {
+        "op1_token_files": token_files.op1_token_files,
+        "op3_packing": packing.op3_packing,
+        "op4_simhash": simhash.op4_simhash,
+        "op9_mixing": mixing.op9_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
