@@ -2,7 +2,31 @@
 
 from __future__ import annotations
 
-from termweave.llm import mixing, packing, simhash, token_files
+from termweave.llm import mixing, packing, simhash, token_files, urls
+
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+c AS (SELECT page_id, regexp_extract(coalesce(r, ''), '^[^?#]*') AS r FROM p),
+u AS (SELECT page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_replace(r, '^[^/]*', '') AS path FROM c),
+o AS (SELECT doc_id, max(quality)::DOUBLE AS g FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(g)::DOUBLE AS n, coalesce(sum(g), 0)::DOUBLE AS good FROM u LEFT JOIN o ON page_id = doc_id GROUP BY host),
+a AS (SELECT (coalesce(sum(good), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS m FROM h),
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT m FROM a) AS m FROM h WHERE n > 0 GROUP BY 1),
+s1 AS (SELECT *, (SELECT 1 / coalesce(least(greatest(sum((good - n * m) ** 2 / n - m * (1 - m)) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.001::DOUBLE), 0.5::DOUBLE), 0.5::DOUBLE) - 1 FROM s0) AS k FROM s0),
+s AS (SELECT suffix, (good + k * m) / (n + k) AS mean, (good + k * m) * (n - good + k * (1 - m)) / ((n + k) ** 2 * (n + k + 1)) AS var FROM s1),
+d0 AS (SELECT h.domain, sum(n) AS n, sum(good) AS good, s.mean AS m FROM h JOIN s USING (suffix) WHERE n > 0 GROUP BY h.domain, s.mean),
+d1 AS (SELECT *, (SELECT 1 / coalesce(least(greatest(sum((good - n * m) ** 2 / n - m * (1 - m)) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.001::DOUBLE), 0.5::DOUBLE), 0.5::DOUBLE) - 1 FROM d0) AS k FROM d0),
+d AS (SELECT domain, (good + k * m) / (n + k) AS mean, (good + k * m) * (n - good + k * (1 - m)) / ((n + k) ** 2 * (n + k + 1)) AS var FROM d1),
+h0 AS (SELECT h.host, n, good, d.mean AS m FROM h JOIN d USING (domain) WHERE n > 0),
+h1 AS (SELECT *, (SELECT 1 / coalesce(least(greatest(sum((good - n * m) ** 2 / n - m * (1 - m)) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.001::DOUBLE), 0.5::DOUBLE), 0.5::DOUBLE) - 1 FROM h0) AS k FROM h0),
+hh AS (SELECT host, (good + k * m) / (n + k) AS mean, (good + k * m) * (n - good + k * (1 - m)) / ((n + k) ** 2 * (n + k + 1)) AS var FROM h1),
+r AS (SELECT h.host, coalesce(hh.mean, d.mean, s.mean, (SELECT m FROM a)) AS mean, coalesce(hh.var, d.var, s.var, (SELECT m * (1 - m) FROM a)) AS var FROM h LEFT JOIN hh USING (host) LEFT JOIN d ON h.domain = d.domain LEFT JOIN s ON h.suffix = s.suffix),
+rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.v, CASE WHEN r.mean - 2 * sqrt(r.var) >= 0.8 THEN 'allow' ELSE 'block' END) AS verdict, round(r.mean, 6) AS mean, round(r.mean - 2 * sqrt(r.var), 6) AS bound
+FROM u JOIN r USING (host) LEFT JOIN f ON f.page_id = u.page_id
+"""
+
 
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -17,6 +41,7 @@ SELECT source, source_size, CASE WHEN w * level >= cap THEN cap ELSE least(cap,
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
+        "op2_urls": urls.op2_urls,
         "op3_packing": packing.op3_packing,
         "op4_simhash": simhash.op4_simhash,
         "op9_mixing": mixing.op9_mixing,
@@ -24,4 +49,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_urls": OP2_SQL}
