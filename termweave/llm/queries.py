@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termweave.llm import mixing, packing, simhash, token_files, urls
+from termweave.llm import chat, mixing, packing, simhash, token_files, urls
 
 OP2_SQL = r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -38,6 +38,19 @@ SELECT source, source_size, CASE WHEN w * level >= cap THEN cap ELSE least(cap,
 """
 
 
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(role || chr(1) || text, '\', '\'), '<|im_start|>', '<\|im_start|>'), '<|im_sep|>', '<\|im_sep|>'), '<|im_end|>', '<\|im_end|>'),
+  '<|endoftext|>', '<\|endoftext|>'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>') AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(length(escaped) - 1 + length('<|im_start|><|im_sep|><|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
@@ -45,8 +58,9 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_simhash": simhash.op4_simhash,
         "op9_mixing": mixing.op9_mixing,
+        "op10_chat": chat.op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_urls": OP2_SQL}
+    return {"op2_urls": OP2_SQL, "op10_chat": OP10_SQL}
