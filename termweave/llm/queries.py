@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termweave.llm import chat, mixing, packing, simhash, token_files, urls
+from termweave.llm import chat, mixing, packing, simhash, token_files, topk, urls
 
 OP2_SQL = r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -51,16 +51,26 @@ FROM e GROUP BY conv_id
 """
 
 
+OP8_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
         "op2_urls": urls.op2_urls,
         "op3_packing": packing.op3_packing,
         "op4_simhash": simhash.op4_simhash,
+        "op8_top_k": topk.op8_top_k,
         "op9_mixing": mixing.op9_mixing,
         "op10_chat": chat.op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_urls": OP2_SQL, "op10_chat": OP10_SQL}
+    return {"op2_urls": OP2_SQL, "op8_top_k": OP8_SQL, "op10_chat": OP10_SQL}
