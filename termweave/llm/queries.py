@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termweave.llm import chat, mixing, packing, simhash, token_files, topk, urls
+from termweave.llm import chat, mixing, packing, simhash, suffix_tree, token_files, topk, toxicity, urls
 
 OP2_SQL = r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -66,6 +66,8 @@ def queries() -> dict:
         "op2_urls": urls.op2_urls,
         "op3_packing": packing.op3_packing,
         "op4_simhash": simhash.op4_simhash,
+        "op5_suffix_tree": suffix_tree.op5_suffix_tree,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_top_k": topk.op8_top_k,
         "op9_mixing": mixing.op9_mixing,
         "op10_chat": chat.op10_chat,
