@@ -1,7 +1,8 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams (with word ends, hashed into buckets) and of the
-whole word; a text's is the mean of its words'. Embeddings and softmax are fitted together by AdaGrad on a bounded sample of labelled rows,
+whole word; a window of WINDOW words has the mean of its words', and a text the score of its highest window, so that a few
+toxic words in a long text are not averaged away. Embeddings and softmax are fitted together by AdaGrad on a bounded sample of labelled rows,
 so a misspelling that was never seen has most of its n-grams from words that were. As the last layer is linear, a
 fitted model is one number for each bucket and one bias, which are broadcast; their size is fixed.
 
@@ -26,16 +27,24 @@ from termweave.plans.shared import ship
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 #: Labelled rows that are learned from at most, toxic and others; and bytes of their texts at most, together.
-SAMPLE, SAMPLE_BYTES = (2500, 5000), 48 << 20
+SAMPLE, SAMPLE_BYTES = (2500, 5000), 32 << 20
 #: Words in fewer texts are not learned from. CALM is what AdaGrad's sums start at: the larger, the less rare n-grams move.
-EPOCHS, BATCH, RATE, LEAST_TEXTS, CALM = 6, 64, 1.0, 2, 1e-5
+EPOCHS, ROUNDS, BATCH, RATE, LEAST_TEXTS, CALM = 4, 3, 64, 2.0, 2, 1e-4
+#: Words in a row that a text's score comes from.
+WINDOW = 64
 #: Words that a worker remembers the scores of.
 REMEMBERED = 400_000
 _ENDS = b".,;:!?\"'()[]{}|*%&$#@-_"
 
 
+def unrepeated(text: bytes) -> list[bytes]:
+    """Words of a text, where a word that stands several times in a row counts once."""
+    words = text.lower().split()
+    return [w for w, before in zip(words, [b"", *words]) if w != before]
+
+
 def words_of(text: bytes) -> list[bytes]:
-    return [w for w in (x.strip(_ENDS) for x in text.lower().split()) if w]
+    return [w for w in (x.strip(_ENDS) for x in unrepeated(text)) if w]
 
 
 def grams(word: bytes) -> list[int]:
@@ -60,60 +69,91 @@ class Model:
         return np.add.reduceat(self.weights[flat], starts) / np.array([*map(len, own)])
 
 
+def best_window(scores: np.ndarray) -> tuple[float, int]:
+    """Largest mean of WINDOW words in a row (of all, if there are fewer), and where it starts."""
+    n = len(scores)
+    if n <= WINDOW:
+        return (float(scores.mean()) if n else 0.0), 0
+    sums = np.concatenate(([0.0], np.cumsum(scores)))
+    means = (sums[WINDOW:] - sums[:-WINDOW]) / WINDOW
+    at = int(means.argmax())
+    return float(means[at]), at
+
+
+class _Fitter:
+    """Embeddings and softmax with AdaGrad's sums, over word ids whose n-grams are listed flat."""
+
+    def __init__(self, own: list[np.ndarray], seed: int):
+        self.sizes = np.array([len(x) for x in own])
+        self.starts, self.flat = np.concatenate(([0], np.cumsum(self.sizes))), np.concatenate(own)
+        self.rng = np.random.default_rng(seed)
+        self.emb = self.rng.uniform(-1e-3, 1e-3, (BUCKETS, DIMENSIONS)).astype(np.float32)
+        self.head = self.rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32)
+        self.bias = np.zeros(2, np.float32)
+        self.sums = [np.full(BUCKETS, CALM, np.float32), np.full((DIMENSIONS, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)]
+
+    def word_scores(self) -> np.ndarray:
+        weights = self.emb @ (self.head[:, 1] - self.head[:, 0])
+        sums = np.concatenate(([0.0], np.cumsum(weights[self.flat], dtype=np.float64)))
+        return (sums[self.starts[1:]] - sums[self.starts[:-1]]) / np.maximum(self.sizes, 1)
+
+    def run(self, examples: list[np.ndarray], y: np.ndarray, epochs: int) -> None:
+        for epoch in range(epochs):
+            order = self.rng.permutation(len(examples))
+            for at in range(0, len(order), BATCH):
+                self._step([examples[d] for d in order[at : at + BATCH]], y[order[at : at + BATCH]], RATE * (1 - epoch / epochs))
+
+    def _step(self, batch: list[np.ndarray], y: np.ndarray, rate: float) -> None:
+        lengths = np.array([len(x) for x in batch])
+        w, row = np.concatenate(batch), np.repeat(np.arange(len(batch)), lengths)
+        keep = self.sizes[w] > 0
+        w, row = w[keep], row[keep]
+        if not len(w):
+            return
+        f = 1 / lengths[row]
+        seen, inside = np.unique(w, return_inverse=True)
+        n = self.sizes[seen]
+        ends = np.cumsum(n)
+        g = self.flat[np.repeat(self.starts[seen] - (ends - n), n) + np.arange(ends[-1])]
+        vec = np.add.reduceat(self.emb[g], ends - n, axis=0) / n[:, None]
+        hidden = np.stack([np.bincount(row, f * vec[inside, j], len(batch)) for j in range(DIMENSIONS)], 1)
+        logit = hidden @ self.head + self.bias
+        p = np.exp(logit - logit.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(batch)), y] -= 1
+        d_hidden = p @ self.head.T
+        d_word = np.stack([np.bincount(inside, f * d_hidden[row, j], len(seen)) for j in range(DIMENSIONS)], 1) / n[:, None]
+        touched, place = np.unique(g, return_inverse=True)
+        owner = np.repeat(np.arange(len(seen)), n)
+        d_emb = np.stack([np.bincount(place, d_word[owner, j], len(touched)) for j in range(DIMENSIONS)], 1).astype(np.float32)
+        self.sums[0][touched] += (d_emb**2).mean(1)
+        self.emb[touched] -= rate * d_emb / np.sqrt(self.sums[0][touched])[:, None]
+        for k, (what, d) in enumerate(((self.head, hidden.T @ p / len(batch)), (self.bias, p.mean(0))), 1):
+            self.sums[k] += d**2
+            what -= (0.1 * rate * d / np.sqrt(self.sums[k])).astype(np.float32)
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model:
-    """Fit on whole texts; two classes share the embeddings."""
+    """Fit on whole texts. First toxic texts stand against windows of the others, any of which is clean; then, in ROUNDS,
+    every text is represented by the window that scores highest so far, the one that its own score comes from."""
     share = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.5
-    if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     ids: dict[bytes, int] = {}
-    docs = []
-    for t in texts:
-        got, n = np.unique(np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int64), return_counts=True)
-        docs.append((got.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-    often = np.bincount(np.concatenate([d[0] for d in docs]), minlength=len(ids)) >= LEAST_TEXTS
-    docs = [(w[often[w]], f[often[w]]) for w, f in docs]
-    own = [np.array(grams(w) if o else (), np.int32) for w, o in zip(ids, often.tolist())]
-    sizes = np.array([len(x) for x in own])
-    starts, flat = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(own)
-    rng = np.random.default_rng(seed)
-    emb = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) * 1e-3
-    emb_sq = np.full(BUCKETS, CALM, np.float32)
-    head, head_sq = rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32), np.full((DIMENSIONS, 2), 1e-8, np.float32)
-    bias, bias_sq = np.zeros(2, np.float32), np.full(2, 1e-8, np.float32)
-    weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (len(toxic) - toxic.sum())) * len(toxic)
-    for epoch in range(EPOCHS):
-        rate, order = RATE * (1 - epoch / EPOCHS), rng.permutation(len(docs))
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            w = np.concatenate([docs[d][0] for d in pick])
-            f = np.concatenate([docs[d][1] for d in pick])
-            row = np.repeat(np.arange(len(pick)), [len(docs[d][0]) for d in pick])
-            if not len(w):
-                continue
-            seen, inside = np.unique(w, return_inverse=True)
-            n = sizes[seen]
-            ends = np.cumsum(n)
-            g = flat[np.repeat(starts[seen] - (ends - n), n) + np.arange(ends[-1])]
-            vec = np.add.reduceat(emb[g], ends - n, axis=0) / n[:, None]
-            hidden = np.stack([np.bincount(row, f * vec[inside, j], len(pick)) for j in range(DIMENSIONS)], 1).astype(np.float32)
-            logit = hidden @ head + bias
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(pick)), toxic[pick]] -= 1
-            p *= weight[pick, None]
-            d_hidden = p @ head.T
-            d_head, d_bias = hidden.T @ p / len(pick), p.mean(0)
-            d_word = np.stack([np.bincount(inside, f * d_hidden[row, j], len(seen)) for j in range(DIMENSIONS)], 1) / n[:, None]
-            touched, place = np.unique(g, return_inverse=True)
-            spread = np.repeat(d_word, n, axis=0)
-            d_emb = np.stack([np.bincount(place, spread[:, j], len(touched)) for j in range(DIMENSIONS)], 1).astype(np.float32)
-            emb_sq[touched] += (d_emb**2).mean(1)
-            emb[touched] -= rate * d_emb / np.sqrt(emb_sq[touched])[:, None]
-            head_sq += d_head**2
-            head -= rate * 0.1 * d_head / np.sqrt(head_sq)
-            bias_sq += d_bias**2
-            bias -= rate * 0.1 * d_bias / np.sqrt(bias_sq)
-    return Model((emb @ (head[:, 1] - head[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int32) for t in texts]
+    has = [k for k, d in enumerate(docs) if len(d)]
+    docs, y = [docs[k] for k in has], toxic[has]
+    if len(set(y.tolist())) < 2:
+        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+    often = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(ids)) >= LEAST_TEXTS
+    fitter = _Fitter([np.array(grams(w) if o else (), np.int32) for w, o in zip(ids, often.tolist())], seed)
+    cut = lambda d, n: d[(a := int(fitter.rng.integers(max(1, len(d) - n + 1)))) : a + n]
+    first = [d if t else cut(d, WINDOW) for d, t in zip(docs, y)]
+    short = [cut(d, n) for d, t in zip(docs, y) if not t for n in (1, 1, 8)]
+    fitter.run(first + short, np.concatenate((y, np.zeros(len(short), np.int64))), EPOCHS)
+    for _ in range(ROUNDS):
+        scores = fitter.word_scores()
+        picked = [d[(a := best_window(scores[d])[1]) : a + WINDOW] for d in docs]
+        fitter.run(picked + short, np.concatenate((y, np.zeros(len(short), np.int64))), EPOCHS)
+    return Model((fitter.emb @ (fitter.head[:, 1] - fitter.head[:, 0])).astype(np.float64), float(fitter.bias[1] - fitter.bias[0]))
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:
@@ -153,7 +193,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         for texts in batches:
             out = []
             for at in range(0, len(texts), 256):
-                docs = [x.lower().split() for x in texts.iloc[at : at + 256]]
+                docs = [unrepeated(x) for x in texts.iloc[at : at + 256]]
                 new = list(set().union(*docs).difference(known))
                 if len(known) + len(new) > REMEMBERED:
                     known.clear()
@@ -164,7 +204,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 known.update((w, scores.get(b)) for w, b in zip(new, bare))
                 for d in docs:
                     got = [s for s in map(known.__getitem__, d) if s is not None]
-                    out.append(m.bias + (sum(got) / len(got) if got else 0.0))
+                    out.append(m.bias + best_window(np.array(got))[0])
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out), -500, 500))))
 
     return docs.withColumn(out_col, run(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
