@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termweave.llm import chat, mixing, packing, simhash, suffix_tree, token_files, topk, toxicity, urls
+from termweave.llm import chat, media, mixing, packing, simhash, suffix_tree, token_files, topk, toxicity, urls
 
 OP2_SQL = r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -67,6 +67,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_simhash": simhash.op4_simhash,
         "op5_suffix_tree": suffix_tree.op5_suffix_tree,
+        "op6_media": media.op6_media,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_top_k": topk.op8_top_k,
         "op9_mixing": mixing.op9_mixing,
