@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from termweave.llm import chat, media, mixing, packing, simhash, suffix_tree, token_files, topk, toxicity, urls
 
 OP2_SQL = r"""
@@ -62,6 +63,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_files": token_files.op1_token_files,
         "op2_urls": urls.op2_urls,
         "op3_packing": packing.op3_packing,

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,9 +186,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     known: dict[bytes, float] = {}
 
     @F.pandas_udf("double")
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
         for texts in batches:
             out = []
