@@ -48,7 +48,12 @@ def _table(left: list[str], right: list[str], algorithm: str, free: frozenset[tu
     la, lb = np.array([*map(len, left)]), np.array([*map(len, right)])
     wa, wb = int(la.max()), int(lb.max())
     a, b = _codes(left, wa), _codes(right, wb)
-    allowed = np.array(sorted(x << 32 | y for x, y in free), np.int64)
+    if free:  # characters of pairs by number, and which numbers match; all others are number 0, which matches none
+        letters = np.array(sorted({c for p in free for c in p}), np.int32)
+        number = lambda m: np.where(letters[k := np.minimum(np.searchsorted(letters, m), len(letters) - 1)] == m, k + 1, 0)
+        na, nb, match = number(a), number(b), np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for x, y in free:
+            match[np.searchsorted(letters, x) + 1, np.searchsorted(letters, y) + 1] = True
     rows = [np.tile(np.arange(wb + 1, dtype=np.int32)[:, None], (1, len(left)))]
     out = np.where(la == 0, lb, 0).astype(np.int32)
     for i in range(1, wa + 1):
@@ -56,8 +61,8 @@ def _table(left: list[str], right: list[str], algorithm: str, free: frozenset[tu
         row[0] = i
         for j in range(1, wb + 1):
             same = a[:, i - 1] == b[:, j - 1]
-            if len(allowed):
-                same = same | np.isin(a[:, i - 1].astype(np.int64) << 32 | b[:, j - 1], allowed)
+            if free:
+                same = same | match[na[:, i - 1], nb[:, j - 1]]
             best = np.minimum(np.minimum(rows[-1][j], row[j - 1]) + 1, rows[-1][j - 1] + ~same)
             if algorithm == TRANSPOSITION and i > 1 and j > 1:
                 swapped = (a[:, i - 1] == b[:, j - 2]) & (a[:, i - 2] == b[:, j - 1])

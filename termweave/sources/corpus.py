@@ -50,7 +50,8 @@ def edits(word: Column) -> Column:
 
 def distance_one(words: DataFrame, word_col: str = "term") -> DataFrame:
     """(term, typo), repeats kept."""
-    return words.select(F.col(word_col).alias("term"), F.explode(edits(F.col(word_col))).alias("typo"))
+    renamed = words.select(F.col(word_col).alias("term"))
+    return renamed.withColumn("typo", F.explode(edits(F.col("term"))))
 
 
 def typos(words: DataFrame, distance: int, count: int, seed: int = 0, word_col: str = "term") -> DataFrame:

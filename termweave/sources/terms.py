@@ -6,9 +6,15 @@ A folder or file name chooses the format unless one is given: .json(.gz) a JSON
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termweave.plans.shared import ship
+
 FORMATS = ("text", "json", "csv", "parquet")
 
 
@@ -35,6 +41,12 @@ def read_terms(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     return got.dropDuplicates(["term"])
 
 
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One JSON array of all terms of a task."""
+    terms = [t for b in batches for t in b.column(0).to_pylist()]
+    yield pa.RecordBatch.from_arrays([pa.array([json.dumps(sorted(terms), ensure_ascii=False)])], names=["value"])
+
+
 def write_terms(terms: DataFrame, path: str, fmt: str | None = None, compression: str | None = None) -> None:
     """Write a folder; Parquet is sorted within files, so that prefix scans skip row groups.
 
@@ -45,8 +57,8 @@ def write_terms(terms: DataFrame, path: str, fmt: str | None = None, compression
     if fmt == "text":
         terms.select("term").write.mode("overwrite").options(**options).text(path)
     elif fmt == "json":
-        part = terms.groupBy(F.spark_partition_id().alias("p")).agg(F.to_json(F.sort_array(F.collect_list("term"))).alias("value"))
-        part.select("value").repartition(F.col("value")).write.mode("overwrite").options(lineSep="", **options).text(path)
+        ship(terms.sparkSession)
+        terms.select("term").mapInArrow(_as_array, "value string").write.mode("overwrite").options(**options).text(path)
     elif fmt == "csv":
         terms.write.mode("overwrite").options(header=True, **options).csv(path)
     elif fmt == "parquet":
