@@ -4,7 +4,8 @@ A text is lower-cased (A-Z only) and cut at ASCII white space into words; every
 (repeats included) votes with its XXH64. Fingerprints within ``radius`` bits are linked, and documents
 that links join, directly or not, form a group.
 
-Candidate search is exact. The 64 bits are dealt into ``parts`` parts; a pair within the radius differs
+Candidate search is exact, and its keys keep about half of the 64 bits, so that chance meetings stay rare as documents
+grow in number. The bits are dealt into ``parts`` parts; a pair within the radius differs
 in at most r = radius // parts bits of some part. Bit i of a part has a vector m(i) in {0,1}^(r+1), and for
 each v <> 0 one mask keeps the bits with <m(i), v> odd. At most r differing bits leave some v orthogonal
 to all their vectors, so that mask drops them all and the pair agrees on the rest: no pair is missed.
@@ -92,19 +93,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(members: np.ndarray, seconds: np.ndarray | None, radius: int, both: int | None) -> list[tuple[int, int]]:
+def _forest(fps: np.ndarray, seconds: np.ndarray | None, radius: int, both: int | None) -> list[tuple[int, int]]:
     """Edges that join the members of one bucket as their links do: one for each member but a root of each group."""
     edges: list[tuple[int, int]] = []
-    free = np.arange(len(members))
+    free = np.arange(len(fps))
     while len(free):
         root, free = free[0], free[1:]
         front = [root]
         while front and len(free):
             at = front.pop()
-            near = np.bitwise_count(members[free] ^ members[at]).astype(np.int16)
+            near = np.bitwise_count(fps[free] ^ fps[at]).astype(np.int16)
             ok = near <= radius
             if seconds is not None:
-                ok &= near + np.bitwise_count(seconds[free] ^ seconds[at]) <= both
+                other = np.bitwise_count(seconds[free] ^ seconds[at])
+                ok = (ok | (other <= radius)) & (near + other <= both)
             got = free[ok]
             free = free[~ok]
             edges += [(int(root), int(k)) for k in got]
@@ -112,56 +114,60 @@ def _forest(members: np.ndarray, seconds: np.ndarray | None, radius: int, both:
     return edges
 
 
-def links(nodes: DataFrame, radius: int, parts: int, both: int | None) -> DataFrame:
-    """Edges (a, b) between rows of nodes (node, fp[, fp2]) that connect what links connect.
+def _compare(groups: DataFrame, radius: int, both: int | None) -> DataFrame:
+    """Edges (a, b) of the forests of groups (g: members of one bucket)."""
+    ship(groups.sparkSession)
 
-    Buckets of two are compared in place. Larger ones up to PAIRWISE_MOST are compared in numpy, and only a
-    spanning forest leaves the task. Fingerprints of still larger buckets are exploded to every midpoint
-    within half the radius: two of them are linked if they share one, and a midpoint has a bounded number
-    of distinct fingerprints around it, so no group is ever unbounded.
-    """
-    masks = [_signed(m) for m in covering_masks(radius, parts)]
-    pair = both is not None
-    cols = ["node", "fp"] + ["fp2"] * pair
-    table = F.array(*[F.struct(F.lit(k).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
-    dealt = nodes.select(*cols, F.explode(table).alias("x")).select(*cols, "x.t", "x.key")
-    me = F.struct(*cols)
-    buckets = Cut(dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min(me).alias("lo"), F.max(me).alias("hi")).where("n > 1"), "buckets")
-    near = F.bit_count(F.col("lo.fp").bitwiseXOR(F.col("hi.fp")))
-    is_link = near <= radius
-    if pair:
-        is_link = is_link & (near + F.bit_count(F.col("lo.fp2").bitwiseXOR(F.col("hi.fp2"))) <= both)
-    edges = buckets.df.where("n = 2").where(is_link).select(F.col("lo.node").alias("a"), F.col("hi.node").alias("b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column(0)
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            column = lambda name: flat.field(name).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            nodes, fps = column("node"), column("fp").view(np.uint64)
+            seconds = None if both is None else column("fp2").view(np.uint64)
             a, b = [], []
-            for group in batch.column(0).to_pylist():
-                fps = np.array([x["fp"] for x in group], np.int64).view(np.uint64)
-                seconds = np.array([x["fp2"] for x in group], np.int64).view(np.uint64) if pair else None
-                for i, j in _forest(fps, seconds, radius, both):
-                    a.append(group[i]["node"])
-                    b.append(group[j]["node"])
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                for i, j in _forest(fps[start:end], None if seconds is None else seconds[start:end], radius, both):
+                    a.append(nodes[start + i])
+                    b.append(nodes[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    middle = buckets.df.where(f"n between 3 and {PAIRWISE_MOST}").select(F.col("t").alias("t2"), F.col("key").alias("key2"))
-    groups = dealt.join(middle, (F.col("t") == F.col("t2")) & (F.col("key") == F.col("key2"))).groupBy("t", "key").agg(F.collect_list(me).alias("g"))
-    edges = edges.unionByName(groups.select("g").mapInArrow(compare, "a long, b long"))
-    if buckets.df.where(f"n > {PAIRWISE_MOST}").limit(1).count():
-        edges = edges.unionByName(_by_midpoints(dealt, buckets.df.where(f"n > {PAIRWISE_MOST}"), cols, masks, radius, both))
+    return groups.select("g").mapInArrow(run, "a long, b long")
+
+
+def links(nodes: DataFrame, radius: int, parts: int, both: int | None) -> DataFrame:
+    """Edges (a, b) between rows of nodes (node, fp[, fp2]) that connect what links connect.
+
+    A first pass counts buckets, with sums made before the shuffle. Rows of buckets with more than one row come
+    together in a second; up to PAIRWISE_MOST they are compared in numpy, and only a spanning forest leaves the task.
+    Fingerprints of still larger buckets are exploded to every midpoint within half the radius: two of them are linked if they
+    share one, and a midpoint has a bounded number of distinct fingerprints around it, so no group is ever unbounded.
+    """
+    cols = ["node", "fp"] + ["fp2"] * (both is not None)
+    masks = [(c, _signed(m)) for c in cols[1:] for m in covering_masks(radius, parts)]
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col(c).bitwiseAND(F.lit(m))) for k, (c, m) in enumerate(masks)])
+    dealt = nodes.select(*cols, F.explode(keys).alias("key"))
+    buckets = Cut(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("bucket"), "n"), "buckets").df
+    me = F.struct(*cols)
+    few = dealt.join(buckets.where(f"n <= {PAIRWISE_MOST}"), F.col("key") == F.col("bucket")).groupBy("key").agg(F.collect_list(me).alias("g"))
+    edges = _compare(few, radius, both)
+    large = buckets.where(f"n > {PAIRWISE_MOST}")
+    if large.limit(1).count():
+        edges = edges.unionByName(_of_large(dealt, large, cols, radius, both))
     return edges.distinct()
 
 
-def _by_midpoints(dealt: DataFrame, large: DataFrame, cols: list[str], masks: list[int], radius: int, both: int | None) -> DataFrame:
-    """Links inside buckets of any size. A pair that agrees on a mask and is within the radius differs in at
-    most the radius' bits outside it, and some point at half of them from each is common to both."""
+def _of_large(dealt: DataFrame, large: DataFrame, cols: list[str], radius: int, both: int | None) -> DataFrame:
+    """Links inside buckets of any size. Two fingerprints within the radius have a common point at half of it or less."""
     half = (radius + 1) // 2
     if half > 2 or both is not None:
         return _by_blocks(dealt, large, cols, radius, both)
-    many = dealt.join(large.select(F.col("t").alias("t2"), F.col("key").alias("key2")), (F.col("t") == F.col("t2")) & (F.col("key") == F.col("key2"))).select(*cols).distinct()
+    many = dealt.join(large, F.col("key") == F.col("bucket")).select(*cols).distinct()
     flips = [0] + [1 << i for i in range(64)] + ([(1 << i) | (1 << j) for i in range(64) for j in range(i)] if half > 1 else [])
     around = F.explode(F.transform(F.array(*[F.lit(_signed(f)) for f in flips]), lambda f: F.col("fp").bitwiseXOR(f)))
-    points = many.select("node", around.alias("p"))
+    points = many.select("node", "fp", around.alias("p"))
+    if radius % 2:  # a point at half of an odd radius is common to pairs one bit too far, too: groups around it are compared
+        return _compare(points.groupBy("p").agg(F.collect_list(F.struct("node", "fp")).alias("g")).where("size(g) > 1"), radius, None)
     hubs = points.groupBy("p").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     return points.join(hubs, "p").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
@@ -169,33 +175,20 @@ def _by_midpoints(dealt: DataFrame, large: DataFrame, cols: list[str], masks: li
 def _by_blocks(dealt: DataFrame, large: DataFrame, cols: list[str], radius: int, both: int | None) -> DataFrame:
     """For wide radii: members of a large bucket are dealt into blocks by a hash, and each pair of blocks is
     compared by itself, so that every group has a bounded number of members; only forests leave the tasks."""
-    sized = large.select(F.col("t").alias("t2"), F.col("key").alias("key2"), F.ceil(F.col("n") / (PAIRWISE_MOST // 4)).cast("int").alias("k"))
-    got = dealt.join(sized, (F.col("t") == F.col("t2")) & (F.col("key") == F.col("key2"))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    spread = got.select(*cols, "t", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    keyed = spread.groupBy("t", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.collect_list(F.struct(*cols)).alias("g"))
-    pair = both is not None
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for group in batch.column(0).to_pylist():
-                fps = np.array([x["fp"] for x in group], np.int64).view(np.uint64)
-                seconds = np.array([x["fp2"] for x in group], np.int64).view(np.uint64) if pair else None
-                for i, j in _forest(fps, seconds, radius, both):
-                    a.append(group[i]["node"])
-                    b.append(group[j]["node"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return keyed.select("g").mapInArrow(compare, "a long, b long")
+    sized = large.select("bucket", F.ceil(F.col("n") / max(1, PAIRWISE_MOST // 4)).cast("int").alias("k"))
+    got = dealt.join(sized, F.col("key") == F.col("bucket")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    spread = got.select(*cols, "key", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    keyed = spread.groupBy("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.collect_list(F.struct(*cols)).alias("g"))
+    return _compare(keyed, radius, both)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 9, parts: int = 2, both: int | None = 19) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 5, parts: int = 1, both: int | None = 19) -> DataFrame:
     """(id, fp, component) per row of docs; component is the smallest id of the row's group.
 
-    The defaults stand for five words and a similarity of 0.8: the angle between two bags of shingles of
-    Jaccard similarity 0.8 differs in about 0.15 of the bits, 19 of 128. A pair is linked if its first
-    fingerprints differ in at most ``radius`` bits and, with ``both``, first and second together in at most
-    that many. Links are between distinct fingerprints, so copies never multiply.
+    The defaults stand for five words and a similarity of 0.8: bags of shingles of Jaccard similarity 0.8 differ in about
+    0.15 of the bits, 19 of 128. With ``both``, a pair is linked if first and second fingerprints together differ
+    in at most that many bits, and one of the two in at most ``radius``; without, if the first ones differ in at most
+    ``radius``. Links are between distinct fingerprints, so copies never multiply.
     """
     marks = Cut(fingerprints(docs, id_col, text_col, words, both is not None), "fingerprints").df
     prints = ["fp"] + ["fp2"] * (both is not None)
