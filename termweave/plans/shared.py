@@ -14,7 +14,12 @@ _shipped: dict[str, bool] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, so that Python workers can import it wherever the driver runs."""
+    """Give executors this package, so that Python workers can import it wherever the driver runs.
+
+    Arrow batches are made smaller where the session has Spark's own size: texts are long, and a worker holds a batch or two.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
