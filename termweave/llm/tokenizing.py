@@ -8,12 +8,11 @@ feeds, special tokens' strings, control marks) are encoded whole.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 
-#: Distinct words that a worker remembers; beyond it only those of the last RECENT batches of 64 texts are kept.
-REMEMBERED, RECENT = 600_000, 24
+#: Distinct words in one generation of a worker's memory. When it is full it becomes the old one, from which words that
+#: come up again move on, and the old one before it is dropped.
+REMEMBERED = 400_000
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　\x00\x01"
 _ODD_ASCII = "".join(x for x in _ODD if x.isascii())
 _RUNS = ("  ", "\n\n", " \n", "\n ", "<|")
@@ -36,11 +35,12 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         if size - 1 > np.iinfo(self.dtype).max:
             raise ValueError(f"{size} ids do not fit {dtype}")
-        self.lengths = np.zeros(size, np.int64)
+        self.lengths, self.ends = np.zeros(size, np.int64), np.zeros(size, bool)
+        suffix = spec["model"].get("end_of_word_suffix") or "\0"
         for token, i in self.tokenizer.get_vocab().items():
-            self.lengths[i] = len(token)
+            self.lengths[i], self.ends[i] = len(token), token.endswith(suffix)
         self.known: dict[str, bytes] = {}
-        self.recent: deque[set[str]] = deque(maxlen=RECENT)
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -64,45 +64,64 @@ class WordEncoder:
             if stem is not w:
                 built.append((w, stem, mark))
             if stem not in known:
-                stems.add(stem)
+                if stem in self.old:
+                    known[stem] = self.old[stem]
+                else:
+                    stems.add(stem)
         self._encode_new(list(stems.union(m for m in (".", ",") if m not in known)))
         for w, stem, mark in built:
             known[w] = known[stem] + (known[mark] if mark else b"")
 
     def _encode_new(self, words: list[str]) -> None:
+        if self.spaced:
+            self.known.update({w: self.whole(w) for w in words if w in (".", ",")})
+            self._together([w for w in words if w not in (".", ",")], self._by_bytes)
+        else:
+            # a word of letters is one run for the pre-tokenizer, and one end of word; İ turns into two characters
+            plain = [w for w in words if w.isalpha() and "İ" not in w]
+            self._together(plain, self._by_ends)
+            self._together(list(set(words).difference(plain)), self._by_marks)
+
+    def _together(self, words: list[str], cut) -> None:
+        step = self.dtype.itemsize
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
-            if self.spaced:
-                marks = [w for w in part if w in ".,"]
-                self.known.update({w: self.whole(w) for w in marks})
-                part = [w for w in part if w not in ".,"]
-                ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, self.dtype)
-                ends = np.cumsum(self.lengths[ids])
-                cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in part]), side="left") + 1
-            else:
-                ids = np.array(self.tokenizer.encode(" \x01 ".join([*part, ""]), add_special_tokens=False).ids, self.dtype)
-                mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids[0]
-                cuts = np.flatnonzero(ids == mark) + 1
-            if len(cuts) != len(part):
+            ids, ends, drop = cut(part)
+            if len(ends) != len(part):
                 raise RuntimeError("words and ids do not line up")
-            step, data, drop = self.dtype.itemsize, ids.tobytes(), 0 if self.spaced else 1
-            start = 0
-            for word, end in zip(part, cuts.tolist()):
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist()):
                 self.known[word] = data[start * step : (end - drop) * step]
                 start = end
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _by_bytes(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        ids = self._ids("".join(part))
+        return ids, np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in part]), side="left") + 1, 0
+
+    def _by_ends(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        ids = self._ids(" ".join(part))
+        return ids, np.flatnonzero(self.ends[ids]) + 1, 0
+
+    def _by_marks(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        ids = self._ids(" \x01 ".join([*part, ""]))
+        return ids, np.flatnonzero(ids == self._ids("\x01")[0]) + 1, 1
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
             cuts = [self._cut(t or "") for t in texts[at : at + 64]]
-            used = set().union(*[c for c in cuts if c])
-            new = used.difference(self.known)
-            if new and len(self.known) + len(new) > REMEMBERED:
-                lately = set().union(*self.recent)
-                self.known = {w: v for w, v in self.known.items() if w in lately or w in used}
+            if len(self.known) > REMEMBERED:
+                self.known, self.old = {}, self.known
+            known, old = self.known, self.old
+            new = set().union(*[c for c in cuts if c]).difference(known)
             if new:
+                again = [w for w in new if w in old]
+                known.update((w, old[w]) for w in again)
+                new.difference_update(again)
                 self._learn(list(new))
-            self.recent.append(used)
             get = self.known.__getitem__
             for text, c in zip(texts[at : at + 64], cuts):
                 if c is None:
