@@ -10,7 +10,7 @@ from termweave.functions.phonetic import INTENDED, ORTHOGRAPHY, PHONETIC, orthog
 from termweave.functions.policy import PHONETIC_ENGLISH_BASIC, STANDARD_OPERATIONS, WITH_MERGE_SPLIT, Substitutions, operation
 
 
-def reference(a, b, algorithm):
+def textbook(a, b, algorithm):
     d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) + 1):
         for j in range(len(b) + 1):
@@ -39,15 +39,15 @@ def test_truth(spark, k, algorithm):
 @given(st.lists(st.tuples(st.text("abcé", max_size=7), st.text("abcé", max_size=7)), max_size=20))
 def test_batches_equal_dp(pairs):
     for algorithm in ALGORITHMS:
-        assert batch_distance([p[0] for p in pairs], [p[1] for p in pairs], algorithm).tolist() == [reference(*p, algorithm) for p in pairs]
+        assert batch_distance([p[0] for p in pairs], [p[1] for p in pairs], algorithm).tolist() == [textbook(*p, algorithm) for p in pairs]
 
 
 def test_axioms():
     r = random.Random(1)
     words = ["".join(r.choice("abc") for _ in range(r.randrange(7))) for _ in range(60)]
     for algorithm in ALGORITHMS:
-        d = {(a, b): reference(a, b, algorithm) for a in words for b in words}
-        assert all(d[a, b] == d[b, a] and (d[a, b] == 0) == (a == b) and d[a, b] <= reference(a, b, "standard") <= 2 * d[a, b] for a, b in d)
+        d = {(a, b): textbook(a, b, algorithm) for a in words for b in words}
+        assert all(d[a, b] == d[b, a] and (d[a, b] == 0) == (a == b) and d[a, b] <= textbook(a, b, "standard") <= 2 * d[a, b] for a, b in d)
 
 
 def test_bytes_nulls_prefix_affixes(spark):
@@ -65,8 +65,8 @@ def test_generalized(spark):
     rows = [("phone", "fone"), ("knight", "night"), ("ab", "ba"), ("m", "rn"), ("butter", "buter")]
     df = spark.createDataFrame(rows, "a string, b string")
     run = lambda ops, **k: [r[0] for r in df.select(generalized_distance(ops, **k)(F.col("a"), F.col("b"))).collect()]
-    assert run(STANDARD_OPERATIONS) == [float(reference(*r, "standard")) for r in rows]
-    assert run(WITH_MERGE_SPLIT) == [float(reference(*r, "merge_and_split")) for r in rows]
+    assert run(STANDARD_OPERATIONS) == [float(textbook(*r, "standard")) for r in rows]
+    assert run(WITH_MERGE_SPLIT) == [float(textbook(*r, "merge_and_split")) for r in rows]
     assert [round(x, 2) for x in run(PHONETIC_ENGLISH_BASIC)] == [0.15, 0.2, 2.0, 2.0, 0.1]
     assert run(PHONETIC_ENGLISH_BASIC, floor_weights=True)[:2] == [0.0, 0.0]
     with pytest.raises(ValueError):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from termweave.operators import cache, context, dictionary, search, substring
 from termweave.operators.join import similarity_join
 from termweave.sources import corpus, terms
-from tests.test_distance import reference
+from tests.test_distance import textbook
 
 WORDS = "a ab abc abcd abcde b bc bcd bcde test testing tested tester tests best rest nest west quest foo food fool football bar bark barn barley".split()
 
@@ -22,7 +22,7 @@ def test_join_is_exact(spark, algorithm):
     have, ask = {word(10) for _ in range(150)} | {""}, {word(10) for _ in range(40)} | {""}
     for n in (0, 1, 2, 3):
         got = {tuple(x) for x in similarity_join(table(spark, ask, "query"), table(spark, [*have, *have]), n, algorithm).collect()}
-        assert got == {(q, t, d) for q in ask for t in have if (d := reference(q, t, algorithm)) <= n}
+        assert got == {(q, t, d) for q in ask for t in have if (d := textbook(q, t, algorithm)) <= n}
 
 
 def test_regressions(spark):
@@ -50,11 +50,11 @@ def test_index_and_builder(spark):
     assert index.builder(ask).max_distance(1).ordered().limit(2).collect() == [("bar", "bar", 0), ("bar", "bark", 1)]
     assert index.builder(ask).algorithm("transposition").max_distance(1).ordered().collect()[-1] == ("tset", "test", 1)
     kept = {r.term for r in index.query_filtered(table(spark, ["bar"], "query"), 2, F.col("value") == 4).collect()}
-    assert kept == {w for w in WORDS if reference("bar", w, "standard") <= 2 and len(w) <= 4}
+    assert kept == {w for w in WORDS if textbook("bar", w, "standard") <= 2 and len(w) <= 4}
     some = {r.term for r in index.query_by_value_set(table(spark, ["test"], "query"), 1, spark.createDataFrame([(5,)], "v int")).collect()}
     assert some == {"tests"}
     got = {(r.term, r.distance) for r in index.query_prefix(table(spark, ["test"], "query"), 1).collect()}
-    best = lambda w: min(reference("test", w[:k], "standard") for k in range(len(w) + 1))
+    best = lambda w: min(textbook("test", w[:k], "standard") for k in range(len(w) + 1))
     assert got == {(w, best(w)) for w in WORDS if best(w) <= 1}
     assert {r.term for r in search.starts_with(table(spark, ["bar"], "query"), valued).collect()} == {"bar", "bark", "barn", "barley"}
 
@@ -116,7 +116,7 @@ def test_cache(spark):
 
 def test_corpus_and_files(spark, tmp_path):
     typos = [r.typo for r in corpus.distance_one(table(spark, ["ab"])).collect()]
-    assert len(typos) == 2 + 3 * 26 + 2 * 25 + 1 and "ba" in typos and all(reference("ab", t, "transposition") <= 1 for t in typos)
+    assert len(typos) == 2 + 3 * 26 + 2 * 25 + 1 and "ba" in typos and all(textbook("ab", t, "transposition") <= 1 for t in typos)
     (tmp_path / "m.txt").write_text("$After\nArtair 1\nAfer\n$Big\nbg 12\n")
     got = {tuple(r) for r in corpus.read_misspellings(spark, str(tmp_path / "m.txt")).collect()}
     assert got == {("After", "Artair", 1), ("After", "Afer", 1), ("Big", "bg", 12)}
