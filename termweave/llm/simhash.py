@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from termweave.plans.components import components
 from termweave.plans.shared import Cut, ship
 
-SEED, CONFIRM_SEED = 42, 43
+SEED = 42
+#: Words of the shingles that candidates are searched by where similarity is decided by longer ones: an edit touches fewer of them.
+CANDIDATE_WORDS = 2
 #: A bucket with more fingerprints than this is not compared pairwise but through midpoints.
 PAIRWISE_MOST = 8192
 
@@ -61,22 +63,34 @@ def fingerprint(text: bytes | None, words: int = 4, seed: int = SEED) -> int:
     return fold(shingle_hashes(text or b"", words, seed))
 
 
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits for each hash, as of another seed (a finalizer of multiplications and shifts)."""
+    with np.errstate(over="ignore"):
+        x = hashes ^ (hashes >> np.uint64(30))
+        x = x * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def four_fingerprints(text: bytes | None, words: int) -> tuple[int, int, int, int]:
+    """Two of shingles of ``words`` words, two of CANDIDATE_WORDS."""
+    long, short = shingle_hashes(text or b"", words, SEED), shingle_hashes(text or b"", CANDIDATE_WORDS, SEED)
+    return fold(long), fold(mixed(long)), fold(short), fold(mixed(short))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, confirm: bool) -> DataFrame:
-    """(id, fp[, fp2]) per row; fp2 is a second fingerprint by another seed."""
+    """(id, fp) per row, or with confirm (id, fp, fp2, c, c2): two fingerprints that decide and two for candidates."""
     ship(docs.sparkSession)
+    prints = ["fp", "fp2", "c", "c2"] if confirm else ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).to_pylist()]
-            out = [batch.column(0), pa.array([fingerprint(x, words) for x in texts], pa.int64())]
-            names = ["id", "fp"]
-            if confirm:
-                out.append(pa.array([fingerprint(x, words, CONFIRM_SEED) for x in texts], pa.int64()))
-                names.append("fp2")
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            texts = batch.column(1).to_pylist()
+            rows = [four_fingerprints(x, words) for x in texts] if confirm else [(fingerprint(x, words),) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(len(prints))]], names=["id", *prints])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    return source.mapInArrow(run, "id long, fp long" + ", fp2 long" * confirm)
+    return source.mapInArrow(run, "id long, " + ", ".join(f"{p} long" for p in prints))
 
 
 def covering_masks(radius: int, parts: int = 1) -> list[int]:
@@ -93,20 +107,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(fps: np.ndarray, seconds: np.ndarray | None, radius: int, both: int | None) -> list[tuple[int, int]]:
+def _apart(members: dict[str, np.ndarray], a: int, others: np.ndarray, name: str) -> np.ndarray:
+    return np.bitwise_count(members[name][others] ^ members[name][a]).astype(np.int16)
+
+
+def _forest(members: dict[str, np.ndarray], radius: int, both: int | None) -> list[tuple[int, int]]:
     """Edges that join the members of one bucket as their links do: one for each member but a root of each group."""
     edges: list[tuple[int, int]] = []
-    free = np.arange(len(fps))
+    free = np.arange(len(members["fp"]))
     while len(free):
         root, free = free[0], free[1:]
         front = [root]
         while front and len(free):
             at = front.pop()
-            near = np.bitwise_count(fps[free] ^ fps[at]).astype(np.int16)
-            ok = near <= radius
-            if seconds is not None:
-                other = np.bitwise_count(seconds[free] ^ seconds[at])
-                ok = (ok | (other <= radius)) & (near + other <= both)
+            if both is None:
+                ok = _apart(members, at, free, "fp") <= radius
+            else:
+                ok = (_apart(members, at, free, "c") <= radius) | (_apart(members, at, free, "c2") <= radius)
+                ok &= _apart(members, at, free, "fp") + _apart(members, at, free, "fp2") <= both
             got = free[ok]
             free = free[~ok]
             edges += [(int(root), int(k)) for k in got]
@@ -117,17 +135,17 @@ def _forest(fps: np.ndarray, seconds: np.ndarray | None, radius: int, both: int
 def _compare(groups: DataFrame, radius: int, both: int | None) -> DataFrame:
     """Edges (a, b) of the forests of groups (g: members of one bucket)."""
     ship(groups.sparkSession)
+    prints = ["fp"] if both is None else ["fp", "fp2", "c", "c2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             ends, flat = lists.offsets.to_numpy(), lists.values
-            column = lambda name: flat.field(name).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            nodes, fps = column("node"), column("fp").view(np.uint64)
-            seconds = None if both is None else column("fp2").view(np.uint64)
+            nodes = flat.field("node").to_numpy(zero_copy_only=False)
+            columns = {p: flat.field(p).to_numpy(zero_copy_only=False).view(np.uint64) for p in prints}
             a, b = [], []
             for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                for i, j in _forest(fps[start:end], None if seconds is None else seconds[start:end], radius, both):
+                for i, j in _forest({p: x[start:end] for p, x in columns.items()}, radius, both):
                     a.append(nodes[start + i])
                     b.append(nodes[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -136,15 +154,15 @@ def _compare(groups: DataFrame, radius: int, both: int | None) -> DataFrame:
 
 
 def links(nodes: DataFrame, radius: int, parts: int, both: int | None) -> DataFrame:
-    """Edges (a, b) between rows of nodes (node, fp[, fp2]) that connect what links connect.
+    """Edges (a, b) between rows of nodes (node, fp[, fp2, c, c2]) that connect what links connect.
 
     A first pass counts buckets, with sums made before the shuffle. Rows of buckets with more than one row come
     together in a second; up to PAIRWISE_MOST they are compared in numpy, and only a spanning forest leaves the task.
     Fingerprints of still larger buckets are exploded to every midpoint within half the radius: two of them are linked if they
     share one, and a midpoint has a bounded number of distinct fingerprints around it, so no group is ever unbounded.
     """
-    cols = ["node", "fp"] + ["fp2"] * (both is not None)
-    masks = [(c, _signed(m)) for c in cols[1:] for m in covering_masks(radius, parts)]
+    cols = ["node", "fp"] if both is None else ["node", "fp", "fp2", "c", "c2"]
+    masks = [(c, _signed(m)) for c in (["fp"] if both is None else ["c", "c2"]) for m in covering_masks(radius, parts)]
     keys = F.array(*[F.xxhash64(F.lit(k), F.col(c).bitwiseAND(F.lit(m))) for k, (c, m) in enumerate(masks)])
     dealt = nodes.select(*cols, F.explode(keys).alias("key"))
     buckets = Cut(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("bucket"), "n"), "buckets").df
@@ -186,13 +204,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component) per row of docs; component is the smallest id of the row's group.
 
     The defaults stand for five words and a similarity of 0.8: bags of shingles of Jaccard similarity 0.8 differ in about
-    0.15 of the bits, 19 of 128. With ``both``, a pair is linked if first and second fingerprints together differ
-    in at most that many bits, and one of the two in at most ``radius``; without, if the first ones differ in at most
-    ``radius``. Links are between distinct fingerprints, so copies never multiply.
+    0.15 of the bits, 19 of 128. Without ``both`` a pair is linked if its fingerprints differ in at most ``radius``
+    bits. With it, two fingerprints of ``words`` words decide, which together may differ in that many bits; candidates
+    are pairs of which one of two fingerprints of CANDIDATE_WORDS words differs in at most ``radius``. Links are between distinct
+    fingerprints, so copies never multiply.
     """
     marks = Cut(fingerprints(docs, id_col, text_col, words, both is not None), "fingerprints").df
-    prints = ["fp"] + ["fp2"] * (both is not None)
-    nodes = Cut(marks.groupBy(*prints).agg(F.min("id").alias("first")).withColumn("node", F.col("fp") if both is None else F.xxhash64("fp", "fp2")), "nodes").df
+    prints = ["fp"] if both is None else ["fp", "fp2", "c", "c2"]
+    nodes = Cut(marks.groupBy(*prints).agg(F.min("id").alias("first")).withColumn("node", F.col("fp") if both is None else F.xxhash64(*prints)), "nodes").df
     found = components(links(nodes, radius, parts, both), "a", "b")
     joined = nodes.join(found, "node").select("root", "first", "node")
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
