@@ -144,3 +144,10 @@ def test_draft_stream_equals_batch(spark, tmp_path):
     seen = spark.table("drafts").where("term is not null").groupBy("context_id").agg(F.array_sort(F.collect_set("term")).alias("f")).collect()
     batch = {x.context_id: x.finalized for x in context.fold_drafts(log).collect() if x.finalized}
     assert {x.context_id: x.f for x in seen} == batch
+
+
+def test_join_plans_have_no_product(spark):
+    for algorithm in ("standard", "transposition"):
+        df = similarity_join(table(spark, WORDS, "query"), table(spark, WORDS), 2, algorithm)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
