@@ -8,13 +8,20 @@ feeds, special tokens' strings, control marks) are encoded whole.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct words in one generation of a worker's memory. When it is full it becomes the old one, from which words that
 #: come up again move on, and the old one before it is dropped.
 REMEMBERED = 400_000
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　\x00\x01"
 _ODD_ASCII = "".join(x for x in _ODD if x.isascii())
+#: Words that are one run of letters for any version of Unicode, and stay one when they are lower-cased (İ becomes a letter and a mark).
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏΑ-ΡΣ-Ωα-ωА-я一-龥]+")
 _RUNS = ("  ", "\n\n", " \n", "\n ", "<|")
 _open: dict[tuple, WordEncoder] = {}
 
@@ -55,10 +62,11 @@ class WordEncoder:
         return text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")[1:]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words. A mark behind a letter is a token of its own, so ``word,`` is looked up as two."""
+        """Encode new words. A mark behind a letter is a token of its own, so ``word,`` is looked up as two; letters are a-z here, as
+        others may turn into marks when they are folded."""
         known, stems, built = self.known, set(), []
         for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1].isalpha() else (w, "")
+            stem, mark = (w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1].isascii() and w[-2:-1].isalpha() else (w, "")
             if not self.spaced and stem.isascii():
                 stem = stem.lower()
             if stem is not w:
@@ -77,8 +85,8 @@ class WordEncoder:
             self.known.update({w: self.whole(w) for w in words if w in (".", ",")})
             self._together([w for w in words if w not in (".", ",")], self._by_bytes)
         else:
-            # a word of letters is one run for the pre-tokenizer, and one end of word; İ turns into two characters
-            plain = [w for w in words if w.isalpha() and "İ" not in w]
+            # a word of letters is one run for the pre-tokenizer, and one end of word
+            plain = [w for w in words if _LETTERS.fullmatch(w)]
             self._together(plain, self._by_ends)
             self._together(list(set(words).difference(plain)), self._by_marks)
 
@@ -137,3 +145,14 @@ def encoder(path: str, dtype: str = "<u4") -> WordEncoder:
     if (path, dtype) not in _open:
         _open[path, dtype] = WordEncoder(path, dtype)
     return _open[path, dtype]
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of ``most`` bytes in a text or binary column, about; a longer value is a slice of its own."""
+    lengths = pc.binary_length(batch.column(column)).fill_null(0)
+    ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(ends[end - 1])
