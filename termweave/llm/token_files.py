@@ -3,8 +3,8 @@
 Documents are dealt into ranges of ascending id and sorted there; task p writes three flat files,
 ``shard-p.bin`` (ids), ``shard-p.idx`` (64-bit offsets, one more than documents) and ``shard-p.doc`` (64-bit
 document ids). Offsets count from the shard's start; the shard's own base is the prefix sum of the counts
-of the shards before it and is kept in ``manifest.json``. A shard is written under a private name and
-renamed, so that a task that runs again, or twice, leaves the same file.
+of the shards before it and is kept in ``manifest.json``. All three are written as the documents come, under private names, and
+renamed, so that a task that runs again, or twice, leaves the same files. There is a shard for each SHARD_BYTES of text, about.
 
 The folder must be one that the driver and all executors mount (memory maps need a file); it defaults to
 the session's spark.checkpoint.dir.
@@ -16,6 +16,7 @@ play no part, whatever they are called.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import zlib
@@ -28,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.tokenizing import encoder
+from termweave.llm.tokenizing import by_bytes, encoder
 from termweave.plans.shared import fresh_path, ship
 
 NULL_ID = -(1 << 63)
+#: Bytes of text in a shard, and of texts that a worker encodes at once (a longer one is encoded alone), about.
+SHARD_BYTES, HELD_BYTES = 32 << 20, 8 << 20
 
 
 def local_path(uri: str) -> str:
@@ -41,14 +44,6 @@ def local_path(uri: str) -> str:
     return parts.path if parts.scheme else uri
 
 
-def _replace(path: str, chunks: list) -> None:
-    private = f"{path}.{TaskContext.get().taskAttemptId()}"
-    with open(private, "wb") as f:
-        for chunk in chunks:
-            f.write(chunk)
-    os.replace(private, path)
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, dtype: str = "<u2") -> str:
     """Write docs and return the folder. One row a shard comes back to the driver, for the prefix sums."""
     spark = docs.sparkSession
@@ -58,28 +53,31 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
-        shard, ids, lengths, total = TaskContext.get().partitionId(), [], [0], 0
-        private = f"{at}/shard-{shard:06d}.bin.{TaskContext.get().taskAttemptId()}"
-        with open(private, "wb") as f:
+        shard, docs, total = TaskContext.get().partitionId(), 0, 0
+        names = [f"{at}/shard-{shard:06d}.{kind}" for kind in ("idx", "doc", "bin")]
+        private = [f"{name}.{TaskContext.get().taskAttemptId()}" for name in names]
+        with contextlib.ExitStack() as stack:
+            offsets, ids, flat = (stack.enter_context(open(name, "wb")) for name in private)
+            offsets.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
-                for start in range(0, batch.num_rows, 256):
-                    part = batch.slice(start, 256)
-                    ids.append(part.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-                    for x in words.encode(part.column(1).to_pylist()):
-                        f.write(x)
-                        f.write(end)
-                        total += len(x) // len(end) + 1
-                        lengths.append(total)
-        if total:
-            _replace(f"{at}/shard-{shard:06d}.idx", [np.array(lengths, "<u8").tobytes()])
-            _replace(f"{at}/shard-{shard:06d}.doc", [x.tobytes() for x in ids])
-            os.replace(private, f"{at}/shard-{shard:06d}.bin")
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "docs": len(lengths) - 1, "tokens": total}])
-        else:
-            os.remove(private)
-
+                for part in by_bytes(batch, 1, HELD_BYTES):
+                    encoded = words.encode(part.column(1).to_pylist())
+                    sizes = np.array([len(x) // len(end) + 1 for x in encoded], np.uint64)
+                    flat.writelines(x + end for x in encoded)
+                    offsets.write((np.uint64(total) + np.cumsum(sizes, dtype=np.uint64)).astype("<u8").tobytes())
+                    ids.write(part.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                    docs, total = docs + len(encoded), total + int(sizes.sum())
+        if not docs:
+            for name in private:
+                os.remove(name)
+            return
+        for mine, name in zip(private, names):
+            os.replace(mine, name)
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "docs": docs, "tokens": total}])
+
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.monotonically_increasing_id().alias("r"))
-    dealt = source.repartitionByRange("id", "r").sortWithinPartitions("id", "r").select("id", "t")
+    dealt = source.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "id", "r").sortWithinPartitions("id", "r").select("id", "t")
     shards = sorted(map(tuple, dealt.mapInArrow(run, "shard long, docs long, tokens long").collect()))
     bases = np.concatenate(([0], np.cumsum([s[2] for s in shards]))).astype(int).tolist()
     with open(f"{at}/manifest.json", "w") as f:
