@@ -9,8 +9,9 @@ Shots: frames are compared by the histograms of their samples; a frame starts a
 one before is at least LEAST_CUT and above the mean of the shot so far by ADAPT standard deviations. Each shot is a clip with times.
 
 Cases: null and empty texts are one line of blanks; texts of any length are stored whole, frame by frame; equal
-texts have equal media; repeated rows stay repeated; media that is null or no AVI has no clips and a null payload; an empty table
-gives no rows; other columns play no part, whatever they are called.
+texts have equal media; repeated rows stay repeated; media that is null, no AVI, or has a frame that cannot be decoded, has no clips
+and a null payload, whatever its neighbours are; frames without code tables use the standard ones; of several streams the first
+video stream is read; an empty table gives no rows; other columns play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,12 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.tokenizing import by_bytes
 from termweave.plans.shared import ship
 
 WIDTH, LINES, RATE = 192, 64, 25
 BINS, LEAST_CUT, ADAPT = 32, 0.12, 3.0
 #: Lengths of the codes of the categories 0 to 8 of differences.
 CODE_LENGTHS = (4, 4, 3, 3, 3, 4, 4, 2, 5)
+# The standard code tables of motion-JPEG frames without their own: how many codes of each length, and the
+# symbols in order; from where ``rest`` is set, the remaining symbols follow in ascending order.
+_STANDARD_DC = {0: [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], 1: [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]}
+_STANDARD_AC = {
+    0: ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    1: ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+}
+#: Bytes of texts or files that a worker holds at once, about; a longer one is held alone.
+HELD_BYTES = 8 << 20
 #: Lines that are coded side by side at most.
 SIDE_BY_SIDE = 16384
 #: The order in which the process lists the 64 coefficients of a block, along its diagonals.
@@ -48,6 +59,15 @@ def _codes(counts: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+def _standard_tables() -> dict[int, dict[int, tuple[int, int]]]:
+    out = {k: _codes(counts, list(range(12))) for k, counts in _STANDARD_DC.items()}
+    for k, (counts, text) in _STANDARD_AC.items():
+        first = [int(x, 16) for x in text.split()]
+        every = [0x00, 0xF0] + [run << 4 | size for run in range(16) for size in range(1, 11)]
+        out[0x10 | k] = _codes(counts, first + sorted(set(every).difference(first)))
+    return out
+
+
 def _table() -> tuple[list[int], list[int]]:
     symbols = sorted(range(9), key=lambda s: (CODE_LENGTHS[s], s))
     return [CODE_LENGTHS.count(n) for n in range(1, 17)], symbols
@@ -116,51 +136,72 @@ def write_avi(frames: list[bytes], height: int) -> bytes:
     return _chunk(b"RIFF", b"AVI " + head + _chunk(b"LIST", b"".join(body)) + _chunk(b"idx1", b"".join(index)))
 
 
+def _chunks(media: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, start, size) of the chunks in a range; lists have the name of their kind, and start behind it."""
+    while at + 8 <= min(end, len(media)):
+        name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+        if name == b"LIST":
+            yield b"LIST" + media[at + 8 : at + 12], at + 12, size - 4
+        else:
+            yield name, at + 8, size
+        at += 8 + size + (size & 1)
+
+
+def _walk(media: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Chunks of a list of frames, and of the clusters in it."""
+    for name, start, size in _chunks(media, at, end):
+        if name == b"LISTrec ":
+            yield from _walk(media, start, start + size)
+        else:
+            yield name, start, size
+
+
 def read_avi(media: bytes) -> tuple[list[bytes], float]:
     """Frames of the first video stream through the index (or, without one, by walking the list), and frames a second."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    found: dict[bytes, tuple[int, int]] = {}
-    rate, todo = float(RATE), [(12, len(media))]
-    while todo:
-        at, end = todo.pop()
-        while at + 8 <= end:
-            name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-            if name == b"LIST":
-                kind = media[at + 8 : at + 12]
-                found[kind] = (at + 8, at + 8 + size)
-                if kind in (b"hdrl", b"strl"):
-                    todo.append((at + 12, at + 8 + size))
-            elif name == b"avih":
-                rate = 1e6 / (struct.unpack_from("<I", media, at + 8)[0] or 1e6 / RATE)
-            else:
-                found.setdefault(name, (at + 8, at + 8 + size))
-            at += 8 + size + (size & 1)
-    movi, end = found[b"movi"]
-    frames = []
-    if b"idx1" in found:
-        a, b = found[b"idx1"]
-        base = movi
-        for k, (name, _, offset, size) in enumerate(struct.iter_unpack("<4sIII", media[a:b])):
-            if not k and media[movi + offset : movi + offset + 4] != name:
-                base = 0  # offsets from the file's start
-            if name[2:] in (b"dc", b"db"):
-                frames.append(media[base + offset + 8 : base + offset + 8 + size])
-    else:
-        at = movi + 4
-        while at + 8 <= end:
-            name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-            if name[2:] in (b"dc", b"db"):
-                frames.append(media[at + 8 : at + 8 + size])
-            at += 8 + size + (size & 1)
+    rate, stream, streams, movi, index = float(RATE), None, 0, None, None
+    for name, start, size in _chunks(media, 12, len(media)):
+        if name == b"LISThdrl":
+            for inner, a, n in _chunks(media, start, start + size):
+                if inner == b"avih":
+                    rate = 1e6 / (struct.unpack_from("<I", media, a)[0] or 1e6 / RATE)
+                elif inner == b"LISTstrl":
+                    head = next((b for kind, b, _ in _chunks(media, a, a + n) if kind == b"strh"), None)
+                    if stream is None and head is not None and media[head : head + 4] == b"vids":
+                        stream = streams
+                        scale, per = struct.unpack_from("<II", media, head + 20)
+                        rate = per / scale if scale and per else rate
+                    streams += 1
+        elif name == b"LISTmovi" and movi is None:
+            movi = (start, start + size)
+        elif name == b"idx1" and index is None:
+            index = (start, min(start + size, len(media)))
+    if movi is None:
+        raise ValueError("an AVI file without frames")
+    wanted = tuple(b"%02d" % (stream or 0) + kind for kind in (b"dc", b"db"))
+    if index is None:
+        return [media[a : a + n] for name, a, n in _walk(media, *movi) if name in wanted], rate
+    frames, base = [], movi[0] - 4
+    entries = [(name, at, n) for name, _, at, n in struct.iter_unpack("<4sIII", media[index[0] : index[0] + (index[1] - index[0]) // 16 * 16]) if name in wanted]
+    if entries and media[base + entries[0][1] : base + entries[0][1] + 4] != entries[0][0]:
+        base = 0  # offsets from the file's start
+    for name, at, n in entries:
+        if media[base + at : base + at + 4] != name:
+            raise ValueError("an index that does not fit its file")
+        frames.append(media[base + at + 8 : base + at + 8 + n])
     return frames, rate
 
 
 def _segments(jpeg: bytes) -> dict:
-    """What a frame's headers say, and its entropy-coded part."""
+    """What a frame's headers say, and its entropy-coded part; a frame that has none raises."""
+    if jpeg[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
     out: dict = {"tables": {}, "quant": {}, "restart": 0}
     at = 2
     while True:
+        if jpeg[at] != 0xFF:
+            raise ValueError("a broken frame")
         mark, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
         body = jpeg[at + 4 : at + 2 + size]
         if mark == 0xC4:
@@ -240,7 +281,7 @@ def decode_baseline(jpeg: bytes) -> np.ndarray:
     """Brightness (lines x width) of a frame of the baseline process."""
     h = _segments(jpeg)
     raw = jpeg[h["data"] :]
-    tables = {k: _lookup(v) for k, v in h["tables"].items()}
+    tables = {k: _lookup(v) for k, v in (_standard_tables() | h["tables"]).items()}
     tall, wide = max(p[2] for p in h["parts"]), max(p[1] for p in h["parts"])
     down, across = -(-h["lines"] // (8 * tall)), -(-h["width"] // (8 * wide))
     first = h["parts"][0]
@@ -249,7 +290,7 @@ def decode_baseline(jpeg: bytes) -> np.ndarray:
     chunks, at = [], 0
     while True:  # restart intervals, without stuffing
         k = at
-        while not (raw[k] == 255 and raw[k + 1] != 0):
+        while not (raw[k] == 255 and raw[k + 1] != 0):  # the end of the data, before the marker, raises
             k += 1
         chunks.append(raw[at:k].replace(b"\xff\x00", b"\xff"))
         at = k + 2
@@ -269,6 +310,8 @@ def decode_baseline(jpeg: bytes) -> np.ndarray:
                         while k < 64:
                             symbols, lengths = tables[0x10 | (spec & 15) if k else spec >> 4]
                             code = peek(16)
+                            if not lengths[code] or pos > have:
+                                raise ValueError("broken data in a frame")
                             s, pos = int(symbols[code]), pos + int(lengths[code])
                             run, size = (s >> 4, s & 15) if k else (0, s)
                             if k and not size:
@@ -277,6 +320,8 @@ def decode_baseline(jpeg: bytes) -> np.ndarray:
                                 k += 16
                                 continue
                             k += run
+                            if k > 63:
+                                raise ValueError("broken data in a frame")
                             got = peek(size) if size else 0
                             pos += size
                             value = got if not size or got >> (size - 1) else got + 1 - (1 << size)
@@ -298,6 +343,10 @@ def decode(frames: list[bytes]) -> list[np.ndarray]:
     return [next(plain) if k == 0xC3 else decode_baseline(f) for f, k in zip(frames, kinds)]
 
 
+#: What a file that breaks the format can raise while it is parsed or decoded.
+BROKEN = (ValueError, KeyError, IndexError, TypeError, OverflowError, StopIteration, struct.error)
+
+
 def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
     """First frame and the one behind the last of each shot."""
     if not frames:
@@ -350,8 +399,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in by_bytes(batch, 1, HELD_BYTES):
                 texts = [t or b"" for t in part.column(1).to_pylist()]
                 media = to_avi([t + b" " * (-len(t) % WIDTH if t else WIDTH) for t in texts])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
@@ -359,6 +407,20 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, "id long, n_bytes long, media binary")
 
 
+def _parsed(media: bytes | None) -> tuple[list[bytes], float] | None:
+    try:
+        return read_avi(media or b"")
+    except BROKEN:
+        return None
+
+
+def _decoded_alone(parsed: tuple[list[bytes], float] | None) -> list[np.ndarray] | None:
+    try:
+        return None if parsed is None else decode(parsed[0])
+    except BROKEN:
+        return None
+
+
 def _decoded(media: list[bytes | None]) -> Iterator[tuple[bytes | None, list[np.ndarray], float]]:
     """Per file its samples as bytes, its frames and their rate; frames of neighbouring files are decoded together."""
     at = 0
@@ -367,16 +429,14 @@ def _decoded(media: list[bytes | None]) -> Iterator[tuple[bytes | None, list[np.
         while end < len(media) and (end == at or total + len(media[end] or b"") <= SIDE_BY_SIDE * WIDTH):
             total += len(media[end] or b"")
             end += 1
-        files = []
-        for m in media[at:end]:
-            try:
-                files.append(read_avi(m or b""))
-            except (ValueError, KeyError, struct.error):
-                files.append(None)
-        frames = iter(decode([f for x in files if x for f in x[0]]))
-        for x in files:
-            own = [next(frames) for _ in x[0]] if x else []
-            yield (b"".join(f.tobytes() for f in own) if x else None), own, x[1] if x else 0.0
+        files = [_parsed(m) for m in media[at:end]]
+        try:
+            frames = iter(decode([f for x in files if x for f in x[0]]))
+            done = [[next(frames) for _ in x[0]] if x else None for x in files]
+        except BROKEN:  # one of them is broken: each by itself
+            done = [_decoded_alone(x) for x in files]
+        for x, own in zip(files, done):
+            yield (None if own is None else b"".join(f.tobytes() for f in own)), own or [], x[1] if x else 0.0
         at = end
 
 
@@ -385,7 +445,7 @@ def clips(stored: DataFrame, id_col: str = "id", media_col: str = "media") -> Da
     ship(stored.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1, HELD_BYTES)):
             rows = []
             for i, (_, frames, rate) in zip(batch.column(0).to_pylist(), _decoded(batch.column(1).to_pylist())):
                 rows += [{"id": i, "clip": k, "first_frame": a, "frames": b - a, "start_s": a / rate, "end_s": b / rate} for k, (a, b) in enumerate(shots(frames))]
@@ -399,12 +459,16 @@ def digests(stored: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 2, HELD_BYTES)):
             media = batch.column(2).to_pylist()
             cols: list[list] = [[] for _ in range(6)]
             for m, (payload, frames, _) in zip(media, _decoded(media)):
                 found = shots(frames)
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{len(frames)} frames, {len(found)} shots at " + " ".join(str(a) for a, _ in found))
+                stored = (len(m), hashlib.sha256(m).hexdigest()) if m is not None else (None, None)
+                if payload is None:
+                    row = (None, None, None, *stored, None)
+                else:
+                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, f"{len(frames)} frames, {len(found)} shots at " + " ".join(str(a) for a, _ in found))
                 for c, v in zip(cols, row):
                     c.append(v)
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
