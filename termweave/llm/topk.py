@@ -11,9 +11,10 @@ by bound, and scores through the forward indexes until the bound falls below the
 returns k rows a query at most, and a window picks the best of those.
 
 Cases: null vectors and those with a null or non-finite component take no part, nor do empty ones and ones of another
-length than the query's; ties go to the smaller id; candidates with the query's own id are its own row and are left out; rows that repeat another id
-are candidates each by itself; with fewer candidates all are returned; an empty table gives no rows; other columns
-play no part, whatever they are called.
+length than the query's; ties go to the smaller id; a query id that is repeated is one query, by its smallest vector (component by component)
+where they differ, and all rows of that id are left out of its candidates; rows that repeat another id
+are candidates each by itself; null ids take no part; with fewer candidates all are returned; vectors so large that a score might not fit 62 bits raise
+a ValueError; an empty table gives no rows; other columns play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from termweave.plans.shared import Cut, fresh_path, ship
 BLOCK, CHUNK, DIRECTIONS, FIRST = 256, 8192, 4, 1
 #: Below any score, and with a negative that fits.
 NONE = -(1 << 62)
+#: Scores that floating-point products give exactly.
+EXACT = 1 << 53
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, v) with integer components; exact, as a double times a power of two is."""
     x = F.col(vector_col).cast("array<double>")
-    fit = F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    fit = F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where(fit).select("id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
@@ -107,6 +110,9 @@ def scan(blocks: list[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray, que
     best = _Best(len(query_ids), k)
     if not blocks:
         return best, 0
+    most_score = max(int(np.abs(m).max()) for _, m in blocks) * max(1, int(np.abs(queries).max())) * queries.shape[1]
+    if most_score < EXACT:  # products of matrices of doubles are exact then, and many times faster
+        queries, blocks = queries.astype(float), [(ids, m.astype(float)) for ids, m in blocks]
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     bounds = np.stack([up @ m.max(axis=0) + down @ m.min(axis=0) for _, m in blocks], axis=1)
     order, scored = np.argsort(-bounds, axis=1, kind="stable"), 0
@@ -119,7 +125,7 @@ def scan(blocks: list[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray, que
         for b in np.unique(at[live]).tolist():
             rows = np.flatnonzero(live & (at == b))
             ids, m = blocks[b]
-            scores = queries[rows] @ m.T
+            scores = (queries[rows] @ m.T).astype(np.int64)
             scores[query_ids[rows][:, None] == ids[None, :]] = NONE
             best.add(rows, scores, ids)
             scored += len(rows)
@@ -177,11 +183,22 @@ def _chunk_best(blocks: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k
     return blocks.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def _check_range(vectors: DataFrame, asked: DataFrame) -> None:
+    """Raise where a score may overflow; components beyond 62 bits are already saturated and so are found, too."""
+    largest = lambda df: df.agg(F.max(F.greatest(F.array_max("v"), -F.array_min("v"))), F.max(F.size("v"))).first()
+    (a, width), (b, _) = largest(vectors.select(F.transform("v", lambda c: F.greatest(c, F.lit(-(1 << 62)))).alias("v"))), largest(asked.select(F.transform("v", lambda c: F.greatest(c, F.lit(-(1 << 62)))).alias("v")))
+    if a and b and a * b * width >= 1 << 62:
+        raise ValueError("vectors are too large for integer scores")
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of rows for each row of queries."""
     spark = rows.sparkSession
-    blocks = Cut(build_blocks(integer_vectors(rows, id_col, vector_col, scale)), "blocks").df
-    asked = Cut(integer_vectors(queries, id_col, vector_col, scale).withColumn("width", F.size("v")), "queries").df
+    vectors = integer_vectors(rows, id_col, vector_col, scale)
+    blocks = Cut(build_blocks(vectors), "blocks").df
+    single = integer_vectors(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
+    asked = Cut(single.withColumn("width", F.size("v")), "queries").df
+    _check_range(vectors, asked)
     path, wrote = fresh_path(spark, "best"), False
     for (width, chunk), ids, cells in _chunks(asked):
         del chunk
