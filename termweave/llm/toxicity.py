@@ -6,10 +6,13 @@ toxic words in a long text are not averaged away. Embeddings and softmax are fit
 so a misspelling that was never seen has most of its n-grams from words that were. As the last layer is linear, a
 fitted model is one number for each bucket and one bias, which are broadcast; their size is fixed.
 
+With ``window=None`` the average is that of the whole text; the README has held-out figures of both.
+
 Cases: null and empty texts, and texts without words, get the score of the bias alone; words of any length count; equal
 texts get equal scores; null ids are scored and never learned from; labels that are null are not learned from, and an id
 labelled twice counts once, as toxic if either label says so; with labels of one kind only or none every score is that of the share
-of toxic labels (one half of a row added); an empty table gives no rows; other columns play no part, whatever they are called.
+of toxic labels (one half of a row added); of rows that repeat an id the smallest text is learned from; an empty table gives no rows; other
+columns play no part, whatever they are called, but one of the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.plans.shared import ship
+from termweave.plans.shared import Cut, ship
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
-#: Labelled rows that are learned from at most, toxic and others; and bytes of their texts at most, together.
+#: Labelled rows that are learned from at most, toxic and others; and bytes of their texts at most, together, before any reach the driver.
 SAMPLE, SAMPLE_BYTES = (2500, 5000), 32 << 20
 #: Words in fewer texts are not learned from. CALM is what AdaGrad's sums start at: the larger, the less rare n-grams move.
 EPOCHS, ROUNDS, BATCH, RATE, LEAST_TEXTS, CALM = 4, 3, 64, 2.0, 2, 1e-4
@@ -59,6 +62,7 @@ def grams(word: bytes) -> list[int]:
 class Model:
     weights: np.ndarray  # by bucket: what one n-gram adds to the log odds
     bias: float
+    window: int | None = WINDOW
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         own = [grams(w) for w in words]
@@ -69,13 +73,13 @@ class Model:
         return np.add.reduceat(self.weights[flat], starts) / np.array([*map(len, own)])
 
 
-def best_window(scores: np.ndarray) -> tuple[float, int]:
-    """Largest mean of WINDOW words in a row (of all, if there are fewer), and where it starts."""
+def best_window(scores: np.ndarray, window: int | None = WINDOW) -> tuple[float, int]:
+    """Largest mean of so many words in a row (of all, if there are fewer or there is no window), and where it starts."""
     n = len(scores)
-    if n <= WINDOW:
+    if window is None or n <= window:
         return (float(scores.mean()) if n else 0.0), 0
     sums = np.concatenate(([0.0], np.cumsum(scores)))
-    means = (sums[WINDOW:] - sums[:-WINDOW]) / WINDOW
+    means = (sums[window:] - sums[:-window]) / window
     at = int(means.argmax())
     return float(means[at]), at
 
@@ -133,8 +137,8 @@ class _Fitter:
             what -= (0.1 * rate * d / np.sqrt(self.sums[k])).astype(np.float32)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model:
-    """Fit on whole texts. First toxic texts stand against windows of the others, any of which is clean; then, in ROUNDS,
+def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7, window: int | None = WINDOW) -> Model:
+    """Fit on whole texts. Without a window every text is represented by all its words. With one, first toxic texts stand against windows of the others, any of which is clean; then, in ROUNDS,
     every text is represented by the window that scores highest so far, the one that its own score comes from."""
     share = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.5
     ids: dict[bytes, int] = {}
@@ -142,18 +146,22 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model:
     has = [k for k, d in enumerate(docs) if len(d)]
     docs, y = [docs[k] for k in has], toxic[has]
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))), window)
     often = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(ids)) >= LEAST_TEXTS
     fitter = _Fitter([np.array(grams(w) if o else (), np.int32) for w, o in zip(ids, often.tolist())], seed)
+    model = lambda: Model((fitter.emb @ (fitter.head[:, 1] - fitter.head[:, 0])).astype(np.float64), float(fitter.bias[1] - fitter.bias[0]), window)
+    if window is None:
+        fitter.run(docs, y, EPOCHS * (1 + ROUNDS))
+        return model()
     cut = lambda d, n: d[(a := int(fitter.rng.integers(max(1, len(d) - n + 1)))) : a + n]
-    first = [d if t else cut(d, WINDOW) for d, t in zip(docs, y)]
+    first = [d if t else cut(d, window) for d, t in zip(docs, y)]
     short = [cut(d, n) for d, t in zip(docs, y) if not t for n in (1, 1, 8)]
     fitter.run(first + short, np.concatenate((y, np.zeros(len(short), np.int64))), EPOCHS)
     for _ in range(ROUNDS):
         scores = fitter.word_scores()
-        picked = [d[(a := best_window(scores[d])[1]) : a + WINDOW] for d in docs]
+        picked = [d[(a := best_window(scores[d], window)[1]) : a + window] for d in docs]
         fitter.run(picked + short, np.concatenate((y, np.zeros(len(short), np.int64))), EPOCHS)
-    return Model((fitter.emb @ (fitter.head[:, 1] - fitter.head[:, 0])).astype(np.float64), float(fitter.bias[1] - fitter.bias[0]))
+    return model()
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:
@@ -161,21 +169,25 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
-    """Fit on labelled rows that are not held out: of each kind those of the smallest hashes of their ids, to the bound."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", sample: tuple[int, int] = SAMPLE, window: int | None = WINDOW) -> Model:
+    """Fit on labelled rows that are not held out: of each kind those of the smallest hashes of their ids, to the bounds.
+
+    The sample is written first, one row an id; its ids and lengths decide which texts are fetched, so that SAMPLE_BYTES of texts
+    come to the driver at most.
+    """
     marked = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(toxic_col).cast("int")).alias("y"))
     part = lambda y, n: marked.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(n)
     chosen = part(1, sample[0]).unionByName(part(0, sample[1]))
     text = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
-    got = text.join(F.broadcast(chosen), F.col("i") == F.col("k")).select("i", "t", "y")  # the sample's size is bounded
-    rows = sorted(((r.y, r.i, bytes(r.t)) for r in got.toLocalIterator()), key=lambda r: (r[1], r[2]))
-    texts, y, total = [], [], 0
-    for label, _, t in rows:
-        if total + len(t) <= SAMPLE_BYTES:
-            texts.append(t)
-            y.append(label)
-            total += len(t)
-    return fit(texts, np.array(y, np.int64))
+    found = text.join(F.broadcast(chosen), F.col("i") == F.col("k"))  # the sample's size is bounded
+    taken = Cut(found.groupBy("i", "y").agg(F.min("t").alias("t")), "sample").df
+    kept, total = [], 0
+    for r in taken.select("i", F.length("t").alias("n")).orderBy(F.xxhash64("i"), "i").collect():  # one row an id of the sample
+        if total + r.n <= SAMPLE_BYTES:
+            kept.append(r.i)
+            total += r.n
+    rows = sorted(((r.i, r.y, bytes(r.t)) for r in taken.where(F.col("i").isin(kept)).toLocalIterator()), key=lambda r: r[0])
+    return fit([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), window=window)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -202,7 +214,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 known.update((w, scores.get(b)) for w, b in zip(new, bare))
                 for d in docs:
                     got = [s for s in map(known.__getitem__, d) if s is not None]
-                    out.append(m.bias + best_window(np.array(got))[0])
+                    out.append(m.bias + best_window(np.array(got), m.window)[0])
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out), -500, 500))))
 
     return docs.withColumn(out_col, run(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
