@@ -8,8 +8,10 @@ context has for those next tokens p = (n + SMOOTHING p') / (N + SMOOTHING), wher
 all others the suffix's probabilities in the mass that is left; the root has (c + 1) / (N + V + 1). So all
 distributions sum to one. Scoring takes for each token the longest suffix state of the words before it.
 
+Contexts grow by a word at a time, as long as longer ones are candidates, up to ``DEPTH`` words.
+
 Counts cover all learned texts: words are counted by a shuffle, and so are the pairs of each depth's candidates and next
-tokens. By the shares above there are at most 1 / NEXT frequent words, 1 / CONTEXT contexts and 1 / NEXT entries a
+tokens. Texts are turned into ids of frequent words once, in a written table that every depth reads. By the shares above there are at most 1 / NEXT frequent words, 1 / CONTEXT contexts and 1 / NEXT entries a
 depth, whatever the input, so the tree is broadcast; the other words are joined by a shuffle, and none of them is frequent.
 
 Cases: null and empty texts are one end; a row with a null id is held out; repeated rows are learned from and scored each; with
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.tokenizing import by_bytes
 from termweave.plans.shared import Cut, ship
 
-CONTEXT, NEXT, DIVERGENCE, SMOOTHING, DEPTH = 5e-5, 1e-6, 0.02, 8.0, 2
+CONTEXT, NEXT, DIVERGENCE, SMOOTHING, DEPTH = 5e-5, 1e-6, 0.02, 8.0, 8
 END = b""
 #: Words or pairs that a task holds before it passes counts on.
 HELD = 400_000
+#: Bytes of texts that a task encodes at once, about.
+HELD_BYTES = 4 << 20
 
 
 @dataclass
@@ -59,13 +64,13 @@ class Tree:
     def roots(self) -> np.ndarray:
         return np.append(np.log10((self.counts + 1) / (self.total + self.distinct + 1)), 0.0)
 
-    def state(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def state(self, ids: np.ndarray, at: np.ndarray, base: int | None = None) -> np.ndarray:
         """Longest suffix state before each place."""
         out, going = np.zeros(len(at), np.int64), np.arange(len(at))
-        back = 1
+        back, base = 1, base or self.base
         while len(going) and len(self.step_codes):
             going = going[at[going] >= back]
-            codes = out[going] * self.base + ids[at[going] - back]
+            codes = out[going] * base + ids[at[going] - back]
             k = np.minimum(np.searchsorted(self.step_codes, codes), len(self.step_codes) - 1)
             hit = self.step_codes[k] == codes
             going = going[hit]
@@ -141,14 +146,29 @@ def _ids(texts: list[bytes], known: dict[bytes, int], tree: Tree) -> tuple[np.nd
     return ids, np.flatnonzero(mask), docs
 
 
-def _count_next(learned: DataFrame, tree: Tree, depth: int, wanted: np.ndarray) -> DataFrame:
-    """(code, n): how often each frequent word follows each wanted state."""
-    sent = learned.sparkSession.sparkContext.broadcast((tree, wanted))
-    del depth
+def _encoded(learned: DataFrame, tree: Tree) -> DataFrame:
+    """(ids) of each text, between two ends."""
+    sent = learned.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, wanted = sent.value
+        tree = sent.value
         known = {w: i for i, w in enumerate(tree.words)}
+        for batch in batches:
+            for part in by_bytes(batch, 0, HELD_BYTES):
+                ids, _, docs = _ids(part.column(0).to_pylist(), known, tree)
+                ends = np.cumsum([0] + [len(d) + 2 for d in docs])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([lists], names=["ids"])
+
+    return learned.select("t").mapInArrow(run, "ids array<int>")
+
+
+def _count_next(encoded: DataFrame, tree: Tree, wanted: np.ndarray) -> DataFrame:
+    """(code, n): how often each frequent word follows each wanted state."""
+    sent = encoded.sparkSession.sparkContext.broadcast((replace(tree, words=[], counts=tree.counts[:0]), tree.base, wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, base, wanted = sent.value
         codes, counts, fresh, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +177,16 @@ def _count_next(learned: DataFrame, tree: Tree, depth: int, wanted: np.ndarray)
             return both, np.bincount(place, np.concatenate((counts, n)), len(both)).astype(np.int64)
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a in range(0, len(texts), 128):
-                ids, at, _ = _ids(texts[a : a + 128], known, tree)
-                state, word = tree.state(ids, at), ids[at]
-                keep = wanted[state] & (word < len(tree.words))
-                fresh.append(state[keep] * tree.base + word[keep])
+            for a in range(0, batch.num_rows, 128):
+                lists = batch.column(0).slice(a, 128)
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                mask = np.ones(len(ids), bool)
+                mask[np.cumsum(lengths) - lengths] = False
+                at = np.flatnonzero(mask)
+                state, word = tree.state(ids, at, base), ids[at]
+                keep = wanted[state] & (word < base - 1)
+                fresh.append(state[keep] * base + word[keep])
                 size += len(fresh[-1])
                 if size > 4 * HELD:
                     codes, counts = merge()
@@ -173,7 +197,7 @@ def _count_next(learned: DataFrame, tree: Tree, depth: int, wanted: np.ndarray)
         codes, counts = merge()
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
-    return learned.select("t").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return encoded.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def grow(tree: Tree, count: Callable[[Tree, np.ndarray], tuple[np.ndarray, np.ndarray]], depth: int = DEPTH, context: float = CONTEXT, divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> Tree:
@@ -269,12 +293,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         frequent = [(0, END)]
     tree = Tree([w for _, w in frequent], np.array([n for n, _ in frequent], np.int64), total, distinct)
 
+    encoded = Cut(_encoded(learned, tree), "encoded")
+
     def count(tree: Tree, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        got = _count_next(learned, tree, 0, wanted).where(F.col("n") >= max(2.0, NEXT * total)).toArrow()  # 1 / NEXT rows at most
+        got = _count_next(encoded.df, tree, wanted).where(F.col("n") >= max(2.0, NEXT * total)).toArrow()  # 1 / NEXT rows at most
         return got["code"].to_numpy(), got["n"].to_numpy()
 
     if total:
         tree = grow(tree, count, depth)
+    encoded.drop()
     return tree, counted.where((F.col("n") < least) & (F.length("w") > 0))
 
 
