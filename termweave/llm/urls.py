@@ -5,7 +5,8 @@ registered domain and suffix: the suffix posterior starts from the rate of all l
 suffix, a host's from its domain. At each level the prior is Beta(k m, k (1 - m)) with m the parent's posterior mean and k the
 level's strength, estimated for all its members by the method of moments of the beta-binomial. A host is
 blocked if its posterior mean less ``z`` posterior standard deviations is under ``least``. Hosts without labelled
-pages have their domain's, suffix's or the overall rate, as far as there is one.
+pages have their domain's, suffix's or the overall rate, as far as there is one. A host's reputation is that of its name without user and
+port. The suffix is its last label, or the last two where they are one of ``suffixes``; the registered domain has one label more.
 
 Rules come first: (host, path, verdict) fits the host and its subdomains if the path starts with the rule's; the
 longest host and path together win, at equal length the longer host.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from termweave.plans.shared import Cut
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+#: Suffixes of two labels that registries sell names under; a parameter.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "ac.jp", "co.jp", "ne.jp", "or.jp", "com.au", "net.au", "org.au", "com.br", "net.br", "com.cn", "com.mx", "com.tr", "com.tw", "co.in", "co.kr", "co.nz", "co.za")
 #: Posterior bound: standard deviations below the mean, and the least good rate that passes.
 Z, LEAST = 2.0, 0.8
 #: Bounds of the correlation of two pages under one parent; a prior's strength is its reciprocal less one.
@@ -60,13 +63,20 @@ def _shrunk(counts: DataFrame) -> DataFrame:
     return counts.select("*", (a / (a + b)).alias("mean"), (a * b / ((a + b) * (a + b) * (a + b + 1))).alias("var"))
 
 
-def reputation(hosts: DataFrame) -> DataFrame:
+def bare(host: Column) -> Column:
+    """A host's name without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def reputation(hosts: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """(host, mean, var) of every host from (host, n, good), n = 0 where no page of it is labelled.
 
-    The registered domain is a host's last two labels and the suffix its last one. Every step works on rows by
-    host, domain or suffix, into which pages have been counted before.
+    Every step works on rows by host, domain or suffix, into which pages have been counted before.
     """
-    named = hosts.select("host", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"), F.col("n").cast("double").alias("n"), F.col("good").cast("double").alias("good"))
+    two = F.substring_index("host", ".", -2).isin(*suffixes)
+    suffix = F.when(two, F.substring_index("host", ".", -2)).otherwise(F.substring_index("host", ".", -1))
+    domain = F.when(two, F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2))
+    named = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), F.col("n").cast("double").alias("n"), F.col("good").cast("double").alias("good"))
     good, n = named.agg(F.coalesce(F.sum("good"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
     overall = (good + 0.5) / (n + 1)
     marked = named.where("n > 0")
@@ -81,16 +91,16 @@ def reputation(hosts: DataFrame) -> DataFrame:
     return out.select("host", F.coalesce("m0", "m1", "m2", F.lit(overall)).alias("mean"), F.coalesce("v0", "v1", "v2", F.lit(overall * (1 - overall))).alias("var"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", outcome_id: str = "page_id", good_col: str = "good", rules=RULES, z: float = Z, least: float = LEAST) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", outcome_id: str = "page_id", good_col: str = "good", rules=RULES, z: float = Z, least: float = LEAST, suffixes=SUFFIXES) -> DataFrame:
     """(id, host, path, rule, verdict, mean, bound) per row of pages."""
-    urls = parsed(pages, id_col, url_col)
+    urls = parsed(pages, id_col, url_col).withColumn("name", bare(F.col("host")))
     marked = outcomes.groupBy(F.col(outcome_id).alias("o")).agg(F.max(F.col(good_col).cast("int")).alias("g"))
-    counted = urls.select("id", "host").join(marked, F.col("id") == F.col("o"), "left").groupBy("host").agg(F.count("g").alias("n"), F.coalesce(F.sum("g"), F.lit(0)).alias("good"))
+    counted = urls.select("id", F.col("name").alias("host")).join(marked, F.col("id") == F.col("o"), "left").groupBy("host").agg(F.count("g").alias("n"), F.coalesce(F.sum("g"), F.lit(0)).alias("good"))
     hosts = Cut(counted, "hosts").df
-    known = Cut(reputation(hosts).select(F.col("host").alias("h"), "mean", (F.col("mean") - z * F.sqrt("var")).alias("bound")), "reputation").df
+    known = Cut(reputation(hosts, suffixes).select(F.col("host").alias("h"), "mean", (F.col("mean") - z * F.sqrt("var")).alias("bound")), "reputation").df
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") >= least, "allow").otherwise("block")
-    return urls.join(known, F.col("host") == F.col("h")).select("id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"))
+    return urls.join(known, F.col("name") == F.col("h")).select("id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"))
 
 
 def op2_urls(spark, sf_dir: str) -> DataFrame:
