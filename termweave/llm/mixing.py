@@ -65,16 +65,43 @@ def _thresholds(sized: DataFrame, plan: DataFrame, bits: int, levels: int) -> Da
     return cutoff.select("src", (F.col("prefix") + F.when(F.col("over") - F.col("budget") < F.col("budget") - F.col("done"), 1).otherwise(0)).alias("below"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, salt: str = "mix") -> DataFrame:
-    """(id, src, size, source_size, target, copies) per row of docs; copies is how often the mix takes it."""
-    wide = BITS * LEVELS
-    row_hash = F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.col(id_col)), 64 - wide)
-    sized = Cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), row_hash.alias("h")), "sizes").df
+#: Sources whose thresholds are broadcast at most; beyond it they are joined by a shuffle.
+SENT_MOST = 100_000
+
+
+def _row_hash(id_col: str, salt: str) -> Column:
+    """The first 40 bits of the MD5 of the salt and the id."""
+    digest = F.md5(F.concat(F.lit(salt), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def mixture(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(s, source_size, target, whole, below) of each source from (src, size, h); rows are taken whole times, and once more if h < below."""
     sources = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
     plan = Cut(targets(sources, weights, share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets").df
     below = _thresholds(sized, plan.where("budget > 0"), BITS, LEVELS)
-    final = Cut(plan.join(below.select(F.col("src").alias("s"), "below"), F.col("src").eqNullSafe(F.col("s")), "left").select(F.col("src").alias("s"), "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below")), "mixture").df
-    return sized.join(final, F.col("src").eqNullSafe(F.col("s"))).select("id", "src", "size", "source_size", "target", (F.col("whole") + (F.col("h") < F.col("below")).cast("long")).alias("copies"))
+    return Cut(plan.join(below.select(F.col("src").alias("s"), "below"), F.col("src").eqNullSafe(F.col("s")), "left").select(F.col("src").alias("s"), "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below")), "mixture").df
+
+
+def _with_mixture(rows: DataFrame, src: Column, final: DataFrame) -> DataFrame:
+    small = final.limit(SENT_MOST + 1).count() <= SENT_MOST
+    return rows.join(F.broadcast(final) if small else final, src.eqNullSafe(F.col("s")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, salt: str = "mix") -> DataFrame:
+    """(id, src, size, source_size, target, copies) per row of docs; copies is how often the mix takes it."""
+    sized = Cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), _row_hash(id_col, salt).alias("h")), "sizes").df
+    joined = _with_mixture(sized, F.col("src"), mixture(sized, weights, share, most))
+    return joined.select("id", "src", "size", "source_size", "target", (F.col("whole") + (F.col("h") < F.col("below")).cast("long")).alias("copies"))
+
+
+def copied(docs: DataFrame, out_col: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, salt: str = "mix") -> DataFrame:
+    """docs with one more column, how often the mix takes the row, from its own hash and source: rows stay where they stand."""
+    sized = Cut(docs.select(F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), _row_hash(id_col, salt).alias("h")), "sizes").df
+    final = mixture(sized, weights, share, most).select("s", F.col("whole").alias("w"), "below")
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(source_col).alias("src"), _row_hash(id_col, salt).alias("h"))
+    joined = _with_mixture(inner, F.col("src"), final)
+    return joined.select("d.*", (F.col("w") + (F.col("h") < F.col("below")).cast("long")).alias(out_col))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr
 c AS (SELECT page_id, regexp_extract(coalesce(r, ''), '^[^?#]*') AS r FROM p),
 u AS (SELECT page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_replace(r, '^[^/]*', '') AS path FROM c),
 o AS (SELECT doc_id, max(quality)::DOUBLE AS g FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(g)::DOUBLE AS n, coalesce(sum(g), 0)::DOUBLE AS good FROM u LEFT JOIN o ON page_id = doc_id GROUP BY host),
+b AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM u),
+x AS (SELECT name AS host, string_split(name, '.') AS parts, count(g)::DOUBLE AS n, coalesce(sum(g), 0)::DOUBLE AS good FROM b LEFT JOIN o ON page_id = doc_id GROUP BY name),
+h AS (SELECT host, array_to_string(parts[-(k + 1):], '.') AS domain, array_to_string(parts[-k:], '.') AS suffix, n, good FROM (SELECT *, CASE WHEN array_to_string(parts[-2:], '.') IN (SUFFIXES) THEN 2 ELSE 1 END AS k FROM x)),
 a AS (SELECT (coalesce(sum(good), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS m FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT m FROM a) AS m FROM h WHERE n > 0 GROUP BY 1),
 s1 AS (SELECT *, (SELECT 1 / coalesce(least(greatest(sum((good - n * m) ** 2 / n - m * (1 - m)) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.001::DOUBLE), 0.5::DOUBLE), 0.5::DOUBLE) - 1 FROM s0) AS k FROM s0),
@@ -24,18 +26,25 @@ hh AS (SELECT host, (good + k * m) / (n + k) AS mean, (good + k * m) * (n - good
 r AS (SELECT h.host, coalesce(hh.mean, d.mean, s.mean, (SELECT m FROM a)) AS mean, coalesce(hh.var, d.var, s.var, (SELECT m * (1 - m) FROM a)) AS var FROM h LEFT JOIN hh USING (host) LEFT JOIN d ON h.domain = d.domain LEFT JOIN s ON h.suffix = s.suffix),
 rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
-SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.v, CASE WHEN r.mean - 2 * sqrt(r.var) >= 0.8 THEN 'allow' ELSE 'block' END) AS verdict, round(r.mean, 6) AS mean, round(r.mean - 2 * sqrt(r.var), 6) AS bound
-FROM u JOIN r USING (host) LEFT JOIN f ON f.page_id = u.page_id
-"""
+SELECT b.page_id, b.host, b.path, f.rule, coalesce(f.v, CASE WHEN r.mean - 2 * sqrt(r.var) >= 0.8 THEN 'allow' ELSE 'block' END) AS verdict, round(r.mean, 6) AS mean, round(r.mean - 2 * sqrt(r.var), 6) AS bound
+FROM b JOIN r ON b.name = r.host LEFT JOIN f ON f.page_id = b.page_id
+""".replace("SUFFIXES", ", ".join(f"'{x}'" for x in urls.SUFFIXES))
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT source, source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w)
-SELECT source, source_size, CASE WHEN w * level >= cap THEN cap ELSE least(cap, w * max(CASE WHEN w * level < cap THEN level END) OVER ()) END AS target FROM l
+  / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, CASE WHEN w * level >= cap THEN cap ELSE least(cap, w * max(CASE WHEN w * level < cap THEN level END) OVER ()) END AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole, target - whole * source_size AS budget FROM t),
+g AS (SELECT source, h, sum(size)::DOUBLE AS words FROM d GROUP BY 1, 2),
+r AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
+o AS (SELECT p.source, budget, min(h) AS h, arg_min(upto, h) AS over, arg_min(upto - words, h) AS done FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source WHERE budget > 0 AND upto > budget GROUP BY 1, 2),
+b AS (SELECT source, h + CASE WHEN over - budget < budget - done THEN 1 ELSE 0 END AS below FROM o)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN h < coalesce(below, 0) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
 
@@ -54,9 +63,10 @@ FROM e GROUP BY conv_id
 
 OP8_SQL = r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 100 = 0 GROUP BY 1),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+  FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 10
 """
 
@@ -78,4 +88,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_urls": OP2_SQL, "op8_top_k": OP8_SQL, "op10_chat": OP10_SQL}
+    return {"op2_urls": OP2_SQL, "op8_top_k": OP8_SQL, "op9_mixing": OP9_SQL, "op10_chat": OP10_SQL}
