@@ -140,25 +140,54 @@ def generalized_distance(operations: list[dict], floor_weights: bool = False):
     """
     ops = [(o["consume_x"], o["consume_y"], float(int(o["weight"])) if floor_weights else float(o["weight"]), {tuple(p) for p in o["pairs"]} if o.get("pairs") is not None else None) for o in operations]
 
-    def one(x: str, y: str) -> float:
-        table = [[float("inf")] * (len(y) + 1) for _ in range(len(x) + 1)]
-        table[0][0] = 0.0
-        for i in range(len(x) + 1):
-            for j in range(len(y) + 1):
-                for cx, cy, weight, pairs in ops:
+    def table(left: list[str], right: list[str]) -> np.ndarray:
+        """One table for all pairs at a time; a cell is a column of numbers, one for each pair."""
+        la, lb = np.array([*map(len, left)]), np.array([*map(len, right)])
+        wa, wb = int(la.max()), int(lb.max())
+        a, b = _codes(left, wa), _codes(right, wb)
+        furthest = max(cx for cx, *_ in ops)
+        listed = [None if pairs is None else {tuple(map(ord, s + t)) for s, t in pairs if len(s) == cx and len(t) == cy} for cx, cy, _, pairs in ops]
+        cells = {(0, 0): np.zeros(len(left))}
+        out = np.full(len(left), np.inf)
+        for i in range(wa + 1):
+            for j in range(wb + 1):
+                best = cells.pop((i, j)) if (i, j) in cells else np.full(len(left), np.inf)
+                for (cx, cy, weight, pairs), codes in zip(ops, listed):
                     if cx > i or cy > j or not cx + cy:
                         continue
-                    s, t = x[i - cx : i], y[j - cy : j]
-                    if pairs is not None:
-                        fits = (s, t) in pairs
+                    own = [a[:, i - cx + k] for k in range(cx)] + [b[:, j - cy + k] for k in range(cy)]
+                    if codes is not None:
+                        fits = np.zeros(len(left), bool)
+                        for want in codes:
+                            fits |= np.logical_and.reduce([c == w for c, w in zip(own, want)])
+                    elif not weight and cx == cy == 1:
+                        fits = own[0] == own[1]
+                    elif cx == cy == 2:
+                        fits = (own[0] == own[3]) & (own[1] == own[2])
                     else:
-                        fits = s == t if not weight and cx == cy == 1 else s == t[::-1] if cx == cy == 2 else True
-                    if fits:
-                        table[i][j] = min(table[i][j], table[i - cx][j - cy] + weight)
-        return table[-1][-1]
+                        fits = np.ones(len(left), bool)
+                    best = np.where(fits, np.minimum(best, cells[i - cx, j - cy] + weight), best)
+                cells[i, j] = best
+                done = (la == i) & (lb == j)
+                out[done] = best[done]
+            for j in range(wb + 1):  # no operation reaches further back
+                cells.pop((i - furthest, j), None)
+        return out
+
+    def many(left: list[str], right: list[str]) -> np.ndarray:
+        out = np.zeros(len(left))
+        order = np.argsort([max(len(x), len(y)) for x, y in zip(left, right)], kind="stable")
+        for at in range(0, len(left), 2048):  # pairs of like length share a table
+            own = order[at : at + 2048]
+            out[own] = table([left[k] for k in own], [right[k] for k in own])
+        return out
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None or t is None else one(s, t) for s, t in zip(x, y)], dtype="float64")
+        known = (x.notna() & y.notna()).to_numpy()
+        out = np.full(len(x), np.nan)
+        if known.any():
+            out[known] = many(x[known].tolist(), y[known].tolist())
+        return pd.Series(out).astype(object).where(known, None).astype("Float64")
 
     return run

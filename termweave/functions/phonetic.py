@@ -27,6 +27,7 @@ class Rule:
     context: str = "anywhere"
     letters: str = ""
     at_next: bool = False  # look at the phone behind the pattern, not at the pattern's own start
+    inert: bool = False  # never fits a word cut into characters: its pattern takes a vowel letter for a consonant
 
     def fits(self, word: str, at: int) -> bool:
         if not word.startswith(self.pattern, at):
@@ -64,7 +65,7 @@ ORTHOGRAPHY = (
     Rule(33, "e", "", "final"),
     Rule(34, "gh", ""),
 )
-PHONETIC = (Rule(100, "th", "t"), Rule(101, "qu", "kw"), Rule(102, "kw", "qu"))
+PHONETIC = (Rule(100, "th", "t"), Rule(101, "qu", "kw", inert=True), Rule(102, "kw", "qu"))
 EXPANDING = (Rule(200, "x", "yy"), Rule(201, "y", "z"))
 ZOMPIST = ORTHOGRAPHY + PHONETIC + EXPANDING
 #: What the contexts mean to say: the phone behind the pattern decides.
@@ -72,9 +73,8 @@ INTENDED = tuple(Rule(r.number, r.pattern, r.replacement, r.context, r.letters,
 
 
 def rewrite(word: str, rules=ORTHOGRAPHY, fuel: int | None = None) -> str:
-    """Apply the rules to one word. Vowels stand only where vowels are meant, so ``qu`` needs its u as a consonant
-    and rule 101 never fits a word cut into phones as above."""
-    usable = [r for r in rules if r.number != 101]
+    """Apply the rules to one word."""
+    usable = [r for r in rules if not r.inert]
     for _ in range(len(word) * len(rules) * EXPANSION if fuel is None else fuel):
         hit = next(((r, k) for r in usable for k in range(len(word) + 1) if r.fits(word, k)), None)
         if hit is None:
@@ -85,8 +85,13 @@ def rewrite(word: str, rules=ORTHOGRAPHY, fuel: int | None = None) -> str:
 
 
 def orthography(word: Column) -> Column:
-    """The orthography rules that can fire, natively: no later one makes room for an earlier one, so a chain does."""
-    for pattern, replacement in (("ch", "ç"), ("sh", "$"), ("ph", "f"), ("c", "k"), ("gh", "")):
+    """The orthography rules that can fire, natively. ``gh`` goes as often as it comes up, as a pair of brackets would; only that makes
+    room for earlier rules, ``sh`` and ``ph``, which come once more."""
+    for pattern, replacement in (("ch", "ç"), ("sh", "$"), ("ph", "f"), ("c", "k")):
+        word = F.replace(word, F.lit(pattern), F.lit(replacement))
+    step = lambda done, c: F.when((c == "h") & done.endswith("g"), F.substring(done, F.lit(1), F.length(done) - 1)).otherwise(F.concat(done, c))
+    word = F.when(F.contains(word, F.lit("gh")), F.aggregate(F.split(word, ""), F.lit(""), step)).otherwise(word)
+    for pattern, replacement in (("sh", "$"), ("ph", "f")):
         word = F.replace(word, F.lit(pattern), F.lit(replacement))
     return word
 

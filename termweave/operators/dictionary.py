@@ -32,6 +32,16 @@ def contains_with_value(queries: DataFrame, terms: DataFrame, predicate: Column,
     return contains(queries, terms.where(predicate), query_col)
 
 
+def any_value(terms: DataFrame, predicate: Callable[[Column], Column]) -> DataFrame:
+    """Terms with a list of values of which one fits at least."""
+    return terms.where(F.exists("value", predicate))
+
+
+def every_value(terms: DataFrame, predicate: Callable[[Column], Column]) -> DataFrame:
+    """Terms with a list of values that all fit; an empty list does."""
+    return terms.where(F.forall("value", predicate))
+
+
 def union_with(left: DataFrame, right: DataFrame, merge: Callable[[Column, Column], Column]) -> DataFrame:
     """All terms of both; merge(left's, right's value) where both have one."""
     r = right.select(F.col("term").alias("r_term"), F.col("value").alias("r_value"), F.lit(True).alias("r_has"))
@@ -62,6 +72,11 @@ def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("term").intersect(right.select("term"))
 
 
+def clear(terms: DataFrame) -> DataFrame:
+    """No terms, with the same columns."""
+    return terms.limit(0)
+
+
 def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("term").subtract(right.select("term"))
 

@@ -2,14 +2,18 @@
 
 Plans, all exact:
 
-* ``segments`` (the default): a term is cut into n + 1 segments. n operations leave one of them untouched, so it stands in the
-  query, shifted by n places at most. A swap, merge or split changes two neighbouring characters; for these there is a gap of one
+* ``segments``: a term is cut into n + 1 segments. n operations leave one of them untouched, so it stands in the
+  query. Moreover, some untouched segment k (from 0) has at most k operations on its left and at most n - k on its right (the
+  first one at which the operations so far are no more than k), so that only few places have to be tried for it. A swap, merge or
+  split changes two neighbouring characters; for these there is a gap of one
   character between segments, so that it still reaches one segment only. Both sides explode to (length, segment
   number, segment) and meet in an equi-join, whose pairs are tested, made distinct and verified. Terms too short for that meet through
   deletion neighbourhoods: both words come to a common one by n deletions (merges and splits take two).
-* ``nested``: a broadcast of the queries and a scan of the terms, only for a query table that was counted and is small.
+* ``nested``: a broadcast of the queries, in counted blocks of NESTED_MOST, and a scan of the terms for each.
+* ``auto`` (the default): segments up to a distance of SEGMENTS_MOST. Beyond it segments are so short that they choose nothing, and
+  most pairs of words are within the distance anyway: nested.
 
-Nothing is broadcast unchecked, and pairs never come from a product of the tables.
+Nothing is broadcast unchecked. A distance above the longest word is that word's length.
 """
 
 from __future__ import annotations
@@ -18,10 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions.distance import ALGORITHMS, MERGE_AND_SPLIT, STANDARD, byte_view, distance, may_be_within
-from termweave.plans.shared import ship
+from termweave.plans.shared import Cut, ship
 
-#: Queries that a nested plan may broadcast.
+#: Queries that a nested plan broadcasts at once.
 NESTED_MOST = 2000
+#: Largest distance for which segments choose.
+SEGMENTS_MOST = 4
+PLANS = ("auto", "segments", "nested")
 
 
 def _numbers(low: Column, high: Column) -> Column:
@@ -56,7 +63,9 @@ def _query_keys(queries: DataFrame, n: int, gap: int, least: int) -> DataFrame:
     parts = []
     for k in range(n + 1):
         start, size = _segments(F.col("n"), n + 1, k, gap)
-        shifts = _numbers(F.greatest(start - n, F.lit(0)), F.least(start + n, F.length("d") - size))
+        longer = F.length("d") - F.col("n")
+        low, high = F.greatest(start - k, start + longer - (n - k), F.lit(0)), F.least(start + k, start + longer + (n - k), F.length("d") - size)
+        shifts = _numbers(low, high)
         parts.append(F.transform(shifts, _cutter(k, size)))
     return sized.select("q", "d", "n", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("x")).select("q", "d", "n", "x.*")
 
@@ -84,20 +93,35 @@ def candidates(queries: DataFrame, terms: DataFrame, n: int, algorithm: str = ST
     return long.where(fits).unionByName(near.join(few, "s").select("q", "d", "t", "c").where(fits)).distinct()
 
 
-def similarity_join(queries: DataFrame, terms: DataFrame, n: int, algorithm: str = STANDARD, unit: str = "char", query_col: str = "query", term_col: str = "term", plan: str = "segments") -> DataFrame:
+def _nested(q: DataFrame, t: DataFrame, n: int, algorithm: str) -> DataFrame:
+    """Pairs through one scan of the terms for each block of queries; a block's number of queries is bounded."""
+    many = q.count()
+    near = lambda block: t.join(F.broadcast(block), may_be_within(F.col("c"), F.col("d"), n, algorithm)).select("q", "d", "t", "c")
+    if many <= NESTED_MOST:
+        return near(q)
+    blocks = -(-2 * many // NESTED_MOST)  # half full, so that an uneven deal by hashes stays below the bound
+    dealt = Cut(q.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")), "queries").df
+    out = near(dealt.where("b = 0").drop("b"))
+    for b in range(1, blocks):
+        out = out.unionByName(near(dealt.where(F.col("b") == b).drop("b")))
+    return out
+
+
+def similarity_join(queries: DataFrame, terms: DataFrame, n: int, algorithm: str = STANDARD, unit: str = "char", query_col: str = "query", term_col: str = "term", plan: str = "auto") -> DataFrame:
     """(query, term, distance) of all pairs of distinct queries and terms within n. Null words match nothing."""
-    if algorithm not in ALGORITHMS or unit not in ("char", "byte") or n < 0 or plan not in ("segments", "nested"):
+    if algorithm not in ALGORITHMS or unit not in ("char", "byte") or n < 0 or plan not in PLANS:
         raise ValueError(f"unknown algorithm, unit, plan or distance: {algorithm}, {unit}, {plan}, {n}")
     ship(queries.sparkSession)
     view = byte_view if unit == "byte" else (lambda c: c)
     q = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).alias("q")).distinct().withColumn("d", view(F.col("q")))
     t = terms.where(F.col(term_col).isNotNull()).select(F.col(term_col).alias("t")).distinct().withColumn("c", view(F.col("t")))
+    if n > SEGMENTS_MOST:
+        longest = lambda df, c: df.agg(F.coalesce(F.max(F.length(c)), F.lit(0))).first()[0]
+        n = min(n, max(longest(q, "d"), longest(t, "c")))
     if n == 0:
         return q.join(t, F.col("d") == F.col("c")).select(F.col("q").alias("query"), F.col("t").alias("term"), F.lit(0).alias("distance"))
-    if plan == "nested":
-        if q.limit(NESTED_MOST + 1).count() > NESTED_MOST:
-            raise ValueError(f"a nested plan takes {NESTED_MOST} queries at most")
-        pairs = t.join(F.broadcast(q), may_be_within(F.col("c"), F.col("d"), n, algorithm))
+    if plan == "nested" or (plan == "auto" and n > SEGMENTS_MOST):
+        pairs = _nested(q, t, n, algorithm)
     else:
         pairs = candidates(q, t, n, algorithm)
     return pairs.select(F.col("q").alias("query"), F.col("t").alias("term"), distance(F.col("c"), F.col("d"), algorithm).alias("distance")).where(F.col("distance") <= n)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.functions.distance import STANDARD, distance, generalized_distance, restricted_distance
-from termweave.operators.join import _numbers, candidates, similarity_join
+from termweave.functions.distance import ALGORITHMS, STANDARD, distance, generalized_distance, restricted_distance
+from termweave.operators.join import PLANS, _numbers, candidates, similarity_join
 from termweave.plans.shared import ship
 
 DEFAULT_DISTANCE = 2
@@ -40,6 +40,12 @@ def starts_with(queries: DataFrame, terms: DataFrame, query_col: str = "query",
     return cut.select("term", F.expr("substring(term, 1, k)").alias("query")).join(q, "query", "left_semi").select("query", "term")
 
 
+def starts_with_values(queries: DataFrame, terms: DataFrame, query_col: str = "query") -> DataFrame:
+    """(query, term, value): terms that begin with the query, with their values."""
+    values = terms.select(F.col("term").alias("t"), "value")
+    return starts_with(queries, terms, query_col).join(values, F.col("term") == F.col("t")).select("query", "term", "value")
+
+
 def restricted_join(queries: DataFrame, terms: DataFrame, n: int, pairs, algorithm: str = STANDARD, query_col: str = "query", term_col: str = "term") -> DataFrame:
     """(query, term, distance) with (term's, query's) character pairs that match at no cost.
 
@@ -75,17 +81,22 @@ def accepts(pairs: DataFrame, word: Column, given: Column, n: int, operations: l
 class FuzzyIndex:
     """A table of terms, optionally with values, bound to an algorithm and a unit."""
 
-    def __init__(self, terms: DataFrame, algorithm: str = STANDARD, unit: str = "char", term_col: str = "term", value_col: str | None = None, pairs=None):
-        self.terms, self.algorithm, self.unit, self.term_col, self.value_col, self.pairs = terms, algorithm, unit, term_col, value_col, pairs
+    def __init__(self, terms: DataFrame, algorithm: str = STANDARD, unit: str = "char", term_col: str = "term", value_col: str | None = None, pairs=None, plan: str = "auto"):
+        if algorithm not in ALGORITHMS or unit not in ("char", "byte") or plan not in PLANS:
+            raise ValueError(f"unknown algorithm, unit or plan: {algorithm}, {unit}, {plan}")
+        self.terms, self.algorithm, self.unit, self.term_col, self.value_col, self.pairs, self.plan = terms, algorithm, unit, term_col, value_col, pairs, plan
+
+    def _but(self, **changes) -> FuzzyIndex:
+        return FuzzyIndex(**{k: getattr(self, k) for k in ("terms", "algorithm", "unit", "term_col", "value_col", "pairs", "plan")} | changes)
 
     def with_substitutions(self, pairs) -> FuzzyIndex:
-        return FuzzyIndex(self.terms, self.algorithm, self.unit, self.term_col, self.value_col, pairs)
+        return self._but(pairs=pairs)
 
     def query_with_distance(self, queries: DataFrame, n: int = DEFAULT_DISTANCE, query_col: str = "query", terms: DataFrame | None = None) -> DataFrame:
         source = self.terms if terms is None else terms
         if self.pairs is not None:
             return restricted_join(queries, source, n, self.pairs, self.algorithm, query_col, self.term_col)
-        return similarity_join(queries, source, n, self.algorithm, self.unit, query_col, self.term_col)
+        return similarity_join(queries, source, n, self.algorithm, self.unit, query_col, self.term_col, self.plan)
 
     def query(self, queries: DataFrame, n: int = DEFAULT_DISTANCE, query_col: str = "query") -> DataFrame:
         return self.query_with_distance(queries, n, query_col).select("query", "term")
@@ -123,8 +134,16 @@ class QueryBuilder:
         return self
 
     def algorithm(self, name: str) -> QueryBuilder:
-        i = self._index
-        self._index = FuzzyIndex(i.terms, name, i.unit, i.term_col, i.value_col, i.pairs)
+        self._index = self._index._but(algorithm=name)
+        return self
+
+    def plan(self, name: str) -> QueryBuilder:
+        self._index = self._index._but(plan=name)
+        return self
+
+    def filter(self, predicate: Column) -> QueryBuilder:
+        """Only terms that fit; the predicate is over the columns of the index's table, and comes before any distance."""
+        self._index = self._index._but(terms=self._index.terms.where(predicate))
         return self
 
     def ordered(self) -> QueryBuilder:

@@ -9,8 +9,9 @@ from termweave.plans.shared import Cut
 
 
 def _fold(pairs: DataFrame, keep_larger: bool) -> DataFrame:
-    """Link each node's neighbours to the smallest of its neighbourhood; the minimum is aggregated
-    map-side first, so a hub with very many neighbours never has them gathered in one task."""
+    """Link each node's neighbours to the smallest of its neighbourhood. The minimum is aggregated map-side first. The pairs of a hub then
+    meet its one row in a merge join: they stream past it and are never held together, and adaptive execution splits a hub
+    with very many neighbours over several tasks."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("hub"), F.least("hub", "m").alias("m"))
     hit = pairs.join(least, pairs["u"] == least["hub"])
     if keep_larger:

@@ -35,11 +35,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = getattr(spark, "_termweave_dir", None)
         if named is None:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir is unset, and a folder of the driver is none of its executors'")
             named = "file://" + tempfile.mkdtemp(prefix="termweave-shared-")
             spark._termweave_dir = named
     return named.rstrip("/")

@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termweave.plans.shared import Cut
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def word_frequencies(texts: DataFrame, text_col: str = "text", pattern: str = "[A-Za-z]+") -> DataFrame:
-    """(term, freq) of the words that match the pattern, A-Z lower-cased."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"({pattern})"))).alias("w"))
-    return words.select(F.translate("w", LETTERS.upper(), LETTERS).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+#: Runs of letters of any script.
+WORD = r"\p{L}+"
+
+
+def words(text: Column, pattern: str = WORD) -> Column:
+    """The words of a text that match the pattern, lower-cased."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"))
+
+
+def word_frequencies(texts: DataFrame, text_col: str = "text", pattern: str = WORD) -> DataFrame:
+    """(term, freq) of the words that match the pattern, lower-cased."""
+    return texts.select(F.explode(words(F.col(text_col), pattern)).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
 
 
 def read_token_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -54,32 +64,49 @@ def distance_one(words: DataFrame, word_col: str = "term") -> DataFrame:
     return renamed.withColumn("typo", F.explode(edits(F.col("term"))))
 
 
+def _drawn(*parts) -> Column:
+    """A number from 0 to 2^32 - 1 from the MD5 of the parts, joined by colons: the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def typos(words: DataFrame, distance: int, count: int, seed: int = 0, word_col: str = "term") -> DataFrame:
     """(term, draw, typo): count words for each term, each by so many edits that a hash of (seed, term, draw, step) picks."""
     out = words.select(F.col(word_col).alias("term"), F.explode(F.sequence(F.lit(1), F.lit(count))).alias("draw")).withColumn("typo", F.col("term"))
     for step in range(distance):
-        out = out.withColumn("e", edits(F.col("typo"))).withColumn("typo", F.element_at("e", (F.pmod(F.xxhash64(F.lit(seed), "term", "draw", F.lit(step)), F.size("e")) + 1).cast("int"))).drop("e")
+        at = _drawn(F.lit(seed), F.col("term"), F.col("draw"), F.lit(step))
+        out = out.withColumn("e", edits(F.col("typo"))).withColumn("typo", F.element_at("e", (at % F.size("e") + 1).cast("int"))).drop("e")
     return out
 
 
 def workload(frequencies: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """(draw, term): terms drawn by frequency: each of size seeded points of [0, total) falls into one term's share.
 
-    Shares are laid out by range-partitioned terms with sums before each partition, not by one global window.
+    Shares are laid out by range-partitioned terms with sums before each partition, not by one global window. The partitions are
+    written first, with their numbers, so that every later reading sees the same ones.
     """
-    ordered = frequencies.repartitionByRange("term").sortWithinPartitions("term").withColumn("p", F.spark_partition_id())
+    ordered = Cut(frequencies.repartitionByRange("term").select("term", "freq", F.spark_partition_id().alias("p")), "shares").df
     before = ordered.groupBy("p").agg(F.sum("freq").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.sum("freq").over(Window.partitionBy("p").orderBy("term").rowsBetween(Window.unboundedPreceding, 0))
     laid = ordered.join(F.broadcast(before.select("p", "base")), "p").select("term", (F.col("base") + inside).alias("upto"), "freq").select("term", (F.col("upto") - F.col("freq")).alias("low"), "upto")
-    total = frequencies.agg(F.sum("freq")).first()[0] or 0
+    total = ordered.agg(F.sum("freq")).first()[0] or 0
     if not total:
-        return frequencies.select(F.lit(0).alias("draw"), "term").limit(0)
+        return frequencies.select(F.lit(0).cast("long").alias("draw"), "term").limit(0)
     width = max(1, total // 4096)
-    draws = frequencies.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("at")).withColumn("cell", F.floor(F.col("at") / width))
+    draws = frequencies.sparkSession.range(size).select(F.col("id").alias("draw"), (_drawn(F.lit(seed), F.col("id")) * 65536 + _drawn(F.lit(seed + 1), F.col("id")) % 65536).alias("h")).select("draw", F.pmod("h", F.lit(total)).alias("at")).withColumn("cell", F.floor(F.col("at") / width))
     cells = laid.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("upto") - 1) / width))))
     return draws.join(cells, "cell").where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("upto"))).select("draw", "term")
 
 
+def uniform_workload(words: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """(draw, term): terms drawn evenly."""
+    return workload(words.select("term").distinct().withColumn("freq", F.lit(1).cast("long")), size, seed)
+
+
+def query_list(words: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """(term): that many distinct terms (or all, if there are fewer), chosen by hash."""
+    return words.select("term").distinct().orderBy(_drawn(F.lit(seed), F.col("term")), "term").limit(size)
+
+
 def workload_stats(words: DataFrame, frequency_col: str = "freq") -> DataFrame:
     f = F.col(frequency_col)
     return words.agg(F.count("*").alias("total"), F.countDistinct("term").alias("unique_terms"), F.min(f).alias("least"), F.max(f).alias("most"), F.avg(f).alias("average"))

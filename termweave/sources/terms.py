@@ -18,16 +18,53 @@ from termweave.plans.shared import ship
 FORMATS = ("text", "json", "csv", "parquet")
 
 
+#: Endings and the formats they stand for.
+ENDINGS = {"json": "json", "csv": "csv", "parquet": "parquet", "bin": "parquet", "paths": "parquet"}
+
+
 def detect_format(path: str) -> str:
+    """By the ending of the name."""
     name = path.rstrip("/").lower()
     for ending in (".gz", ".bz2", ".zst"):
         name = name.removesuffix(ending)
-    return {"json": "json", "csv": "csv", "parquet": "parquet", "bin": "parquet", "paths": "parquet"}.get(name.rsplit(".", 1)[-1], "text")
+    return ENDINGS.get(name.rsplit(".", 1)[-1], "text")
+
+
+def detect_content(spark: SparkSession, path: str) -> str:
+    """By the first bytes of the first file that has any; where there is none, by the ending.
+
+    Parquet has its magic number, JSON an opening bracket; one line with a header named term is CSV.
+    """
+    import bz2
+    import zlib
+
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().toString() for f in fs.listStatus(where) if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._"))
+    if not files:
+        return detect_format(path)
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(files[0]))
+    try:
+        head = bytes(stream.readNBytes(4096))
+    finally:
+        stream.close()
+    if head[:4] == b"PAR1":
+        return "parquet"
+    if head[:2] == b"\x1f\x8b":
+        head = zlib.decompressobj(31).decompress(head, 4096)
+    elif head[:3] == b"BZh":
+        head = bz2.BZ2Decompressor().decompress(head)
+    text = head.decode("utf-8", "replace").lstrip("\ufeff \t\r\n")
+    if text[:1] in ("[", "{"):
+        return "json"
+    first = text.split("\n", 1)[0].strip().split(",")
+    return "csv" if "term" in first else "text"
 
 
 def read_terms(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """(term) or (term, value), distinct terms."""
-    fmt = fmt or detect_format(path)
+    fmt = fmt or detect_content(spark, path)
     if fmt == "text":
         got = spark.read.text(path).select(F.col("value").alias("term")).where("term <> ''")
     elif fmt == "json":
