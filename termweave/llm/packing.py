@@ -34,7 +34,7 @@ from termweave.plans.shared import Cut, ship
 #: Pieces in one group, groups at least in the first packing, exchanges at most, and sequences given to an exchange beyond a group's gap.
 GROUP, GROUPS, EXCHANGES, SPARE = 20_000, 16, 12, 2
 #: Bytes of texts that a worker encodes at once, about; a longer one is encoded alone.
-HELD_BYTES = 8 << 20
+HELD_BYTES = 2 << 20
 PIECE = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", sequence_id long, offset long, open boolean, g int, sequences long, bound long"
 

@@ -34,7 +34,7 @@ from termweave.plans.shared import fresh_path, ship
 
 NULL_ID = -(1 << 63)
 #: Bytes of text in a shard, and of texts that a worker encodes at once (a longer one is encoded alone), about.
-SHARD_BYTES, HELD_BYTES = 32 << 20, 8 << 20
+SHARD_BYTES, HELD_BYTES = 32 << 20, 2 << 20
 
 
 def local_path(uri: str) -> str:

@@ -17,11 +17,12 @@ import pyarrow.compute as pc
 
 #: Distinct words in one generation of a worker's memory. When it is full it becomes the old one, from which words that
 #: come up again move on, and the old one before it is dropped.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　\x00\x01"
 _ODD_ASCII = "".join(x for x in _ODD if x.isascii())
 #: Words that are one run of letters for any version of Unicode, and stay one when they are lower-cased (İ becomes a letter and a mark).
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏΑ-ΡΣ-Ωα-ωА-я一-龥]+")
+_PLAIN = frozenset(chr(c) for c in range(0x41, 0x450) if _LETTERS.fullmatch(chr(c)))
 _RUNS = ("  ", "\n\n", " \n", "\n ", "<|")
 _open: dict[tuple, WordEncoder] = {}
 
@@ -62,11 +63,11 @@ class WordEncoder:
         return text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")[1:]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words. A mark behind a letter is a token of its own, so ``word,`` is looked up as two; letters are a-z here, as
-        others may turn into marks when they are folded."""
+        """Encode new words. A mark behind a letter is a token of its own, so ``word,`` is looked up as two; not behind letters that may turn
+        into marks when they are folded."""
         known, stems, built = self.known, set(), []
         for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1].isascii() and w[-2:-1].isalpha() else (w, "")
+            stem, mark = (w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1] in _PLAIN else (w, "")
             if not self.spaced and stem.isascii():
                 stem = stem.lower()
             if stem is not w:
