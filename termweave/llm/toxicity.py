@@ -36,7 +36,7 @@ EPOCHS, ROUNDS, BATCH, RATE, LEAST_TEXTS, CALM = 4, 3, 64, 2.0, 2, 1e-4
 #: Words in a row that a text's score comes from.
 WINDOW = 64
 #: Words that a worker remembers the scores of.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _ENDS = b".,;:!?\"'()[]{}|*%&$#@-_"
 
 
