@@ -200,12 +200,12 @@ def _by_blocks(dealt: DataFrame, large: DataFrame, cols: list[str], radius: int,
     return _compare(keyed, radius, both)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 5, parts: int = 1, both: int | None = 19) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, parts: int = 1, both: int | None = None) -> DataFrame:
     """(id, fp, component) per row of docs; component is the smallest id of the row's group.
 
-    The defaults estimate five words and a similarity of 0.8, and miss pairs near it (the pipeline takes ``minhash``, which is exact): bags of shingles of Jaccard similarity 0.8 differ in about
-    0.15 of the bits, 19 of 128. Without ``both`` a pair is linked if its fingerprints differ in at most ``radius``
-    bits. With it, two fingerprints of ``words`` words decide, which together may differ in that many bits; candidates
+    Without ``both`` a pair is linked if and only if its fingerprints differ in at most ``radius`` bits. A similarity of 0.8 cannot be had so:
+    bags of shingles of Jaccard similarity 0.8 differ in about
+    0.15 of the bits, 19 of 128, and masks that cover all pairs at that radius would be thousands (the pipeline takes ``minhash``). With ``both``, two fingerprints of ``words`` words decide, which together may differ in that many bits; candidates
     are pairs of which one of two fingerprints of CANDIDATE_WORDS words differs in at most ``radius``. Links are between distinct
     fingerprints, so copies never multiply.
     """
