@@ -201,3 +201,25 @@ def test_suffix_tree_is_the_definition(spark, monkeypatch):
     tree, others = suffix_tree.learn(docs, depth=5)
     got = {r.i: r.score for r in suffix_tree.score(docs, tree, others).collect()}
     assert all(abs(got[i] - brute(t)[0]) < 1e-6 for i, t in enumerate(texts)) and brute("a")[1] > 2
+
+
+def test_wide_radii_in_large_buckets_are_compared_block_by_block(spark, monkeypatch):
+    from termweave.llm import simhash
+    from termweave.plans.components import components
+
+    monkeypatch.setattr(simhash, "PAIRWISE_MOST", 8)
+    rng = np.random.default_rng(6)
+    fps = {0}
+    while len(fps) < 50:
+        f = int(rng.choice(list(fps)))
+        fps.add(f ^ sum(1 << int(b) for b in rng.choice(40, 6, replace=False)))
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(f, f) for f in fps], "node long, fp long")
+    got = {r.node: r.root for r in components(simhash.links(nodes, 6, 1, None), "a", "b").collect()}
+    root = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if b < a and (a ^ b).bit_count() <= 6 and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert {f: got.get(f, f) for f in fps} == root
