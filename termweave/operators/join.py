@@ -46,19 +46,50 @@ def _segments(length: Column, count: int, k: int, gap: int) -> tuple[Column, Col
     return start, size + (F.lit(k) >= first_long).cast("int")
 
 
-def _term_keys(terms: DataFrame, n: int, gap: int) -> DataFrame:
+#: Keys that one segment may become where characters have alternatives.
+VARIANTS_MOST = 512
+
+
+class Alternatives:
+    """Term characters that each query character may stand for besides itself, and how long a segment's beginning may be for that."""
+
+    def __init__(self, pairs):
+        self.of: dict[str, list[str]] = {}
+        for term, query in pairs:
+            if term != query:
+                self.of.setdefault(query, []).append(term)
+        most = 1 + max(map(len, self.of.values()), default=0)
+        self.length = 1
+        while most > 1 and most ** (self.length + 1) <= VARIANTS_MOST:
+            self.length += 1
+
+    def variants(self, text: Column) -> Column:
+        """All texts that a short text may stand for."""
+        if not self.of:
+            return F.array(text)
+        table = F.create_map(*[x for q, terms in sorted(self.of.items()) for x in (F.lit(q), F.array(*map(F.lit, sorted(terms))))])
+        each = lambda c: F.concat(F.array(c), F.coalesce(F.try_element_at(table, c), F.array().cast("array<string>")))
+        grow = lambda done, c: F.flatten(F.transform(done, lambda d: F.transform(each(c), lambda x: F.concat(d, x))))
+        return F.aggregate(F.split(text, ""), F.array(F.lit("")), grow)
+
+
+def _term_keys(terms: DataFrame, n: int, gap: int, alternatives: Alternatives | None = None) -> DataFrame:
     parts = []
     for k in range(n + 1):
         start, size = _segments(F.length("c"), n + 1, k, gap)
-        parts.append(F.struct(F.length("c").alias("n"), F.lit(k).alias("k"), F.substring(F.col("c"), start + 1, size).alias("s")))
+        s = F.substring(F.col("c"), start + 1, size) if alternatives is None else F.substring(F.col("t"), start + 1, F.least(size, F.lit(alternatives.length)))
+        parts.append(F.struct(F.length("c").alias("n"), F.lit(k).alias("k"), s.alias("s")))
     return terms.select("t", "c", F.explode(F.array(*parts)).alias("x")).select("t", "c", "x.*")
 
 
-def _cutter(k: int, size: Column):
-    return lambda p: F.struct(F.lit(k).alias("k"), F.substring(F.col("d"), p + 1, size).alias("s"))
+def _cutter(k: int, size: Column, alternatives: Alternatives | None):
+    key = lambda s: F.struct(F.lit(k).alias("k"), s.alias("s"))
+    if alternatives is None:
+        return lambda p: F.array(key(F.substring(F.col("d"), p + 1, size)))
+    return lambda p: F.transform(alternatives.variants(F.substring(F.col("q"), p + 1, F.least(size, F.lit(alternatives.length)))), key)
 
 
-def _query_keys(queries: DataFrame, n: int, gap: int, least: int) -> DataFrame:
+def _query_keys(queries: DataFrame, n: int, gap: int, least: int, alternatives: Alternatives | None = None) -> DataFrame:
     sized = queries.select("q", "d", F.explode(_numbers(F.greatest(F.length("d") - n, F.lit(least)), F.length("d") + n)).alias("n"))
     parts = []
     for k in range(n + 1):
@@ -66,7 +97,7 @@ def _query_keys(queries: DataFrame, n: int, gap: int, least: int) -> DataFrame:
         longer = F.length("d") - F.col("n")
         low, high = F.greatest(start - k, start + longer - (n - k), F.lit(0)), F.least(start + k, start + longer + (n - k), F.length("d") - size)
         shifts = _numbers(low, high)
-        parts.append(F.transform(shifts, _cutter(k, size)))
+        parts.append(F.flatten(F.transform(shifts, _cutter(k, size, alternatives))))
     return sized.select("q", "d", "n", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("x")).select("q", "d", "n", "x.*")
 
 
@@ -80,12 +111,15 @@ def deletions(word: Column, most: int) -> Column:
     return F.array_distinct(out)
 
 
-def candidates(queries: DataFrame, terms: DataFrame, n: int, algorithm: str = STANDARD) -> DataFrame:
-    """(q, d, t, c): a superset of the pairs within n, each once. q, t are the words and d, c what is compared."""
+def candidates(queries: DataFrame, terms: DataFrame, n: int, algorithm: str = STANDARD, alternatives: Alternatives | None = None) -> DataFrame:
+    """(q, d, t, c): a superset of the pairs within n, each once. q, t are the words and d, c what is compared, letter by letter alike.
+
+    With alternatives, segments are those of the words themselves: a beginning of the query's segment becomes all that it may stand for.
+    """
     gap = 0 if algorithm == STANDARD else 1
     least = n + 1 + gap * n
     dropped = 2 * n if algorithm == MERGE_AND_SPLIT else n
-    long = _query_keys(queries, n, gap, least).join(_term_keys(terms.where(F.length("c") >= least), n, gap), ["n", "k", "s"]).select("q", "d", "t", "c")
+    long = _query_keys(queries, n, gap, least, alternatives).join(_term_keys(terms.where(F.length("c") >= least), n, gap, alternatives), ["n", "k", "s"]).select("q", "d", "t", "c")
     few = terms.where(F.length("c") < least).select("t", "c", F.explode(deletions(F.col("c"), dropped)).alias("s"))
     near = queries.where(F.length("d") < least + n).select("q", "d", F.explode(deletions(F.col("d"), dropped)).alias("s"))
     # a pair may share several keys: the cheap native test comes first, so that only what passes it is made distinct

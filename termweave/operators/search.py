@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions.distance import ALGORITHMS, STANDARD, distance, generalized_distance, restricted_distance
-from termweave.operators.join import PLANS, _numbers, candidates, similarity_join
+from termweave.operators.join import PLANS, Alternatives, _numbers, candidates, similarity_join
 from termweave.plans.shared import ship
 
 DEFAULT_DISTANCE = 2
@@ -49,8 +49,8 @@ def starts_with_values(queries: DataFrame, terms: DataFrame, query_col: str = "q
 def restricted_join(queries: DataFrame, terms: DataFrame, n: int, pairs, algorithm: str = STANDARD, query_col: str = "query", term_col: str = "term") -> DataFrame:
     """(query, term, distance) with (term's, query's) character pairs that match at no cost.
 
-    Characters that pairs connect are mapped to one of them; the distance after that is no larger, so a join over mapped
-    words misses nothing, and the exact distance follows.
+    Segments are joined through all that a query's characters may stand for. Characters that pairs connect are also mapped to one of
+    them; the distance after that is no larger, so that testing mapped words first loses nothing. The exact distance follows.
     """
     ship(queries.sparkSession)
     pairs = sorted((x, y) for x, y in pairs if len(x) == len(y) == 1)
@@ -67,7 +67,7 @@ def restricted_join(queries: DataFrame, terms: DataFrame, n: int, pairs, algorit
     same = lambda c: F.translate(c, "".join(mapped), "".join(find(m) for m in mapped))
     q = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).alias("q")).distinct().withColumn("d", same(F.col("q")))
     t = terms.where(F.col(term_col).isNotNull()).select(F.col(term_col).alias("t")).distinct().withColumn("c", same(F.col("t")))
-    near = q.join(t, F.col("d") == F.col("c")) if n == 0 else candidates(q, t, n, algorithm)
+    near = candidates(q, t, n, algorithm, Alternatives(pairs))
     return near.select(F.col("q").alias("query"), F.col("t").alias("term"), restricted_distance(F.col("t"), F.col("q"), pairs, algorithm).alias("distance")).where(F.col("distance") <= n)
 
 

@@ -611,6 +611,12 @@ def _pair_list(pairs) -> str:
     return "[" + ", ".join("'" + x + y + "'" for x, y in sorted(pairs)) + "]"
 
 
+def _alike(i: str, j: str) -> str:
+    """Whether the term's letter i and the query's letter j are the same or neighbours on the keyboard."""
+    listed = " ".join(x + y for x, y in sorted(KEYBOARD_QWERTY))
+    return f"(substr(et, {i}, 1) = substr(eq, {j}, 1) OR contains('{listed}', substr(et, {i}, 1) || substr(eq, {j}, 1)))"
+
+
 def _completed(order: str) -> str:
     return f"""WITH RECURSIVE {_S},
   r AS (SELECT DISTINCT c_custkey + 1000 AS context_id, lower(left(c_mktsegment, 1) || substr(c_mktsegment, 3)) AS query FROM customer),
@@ -701,6 +707,11 @@ def oracle_sql() -> dict[str, str]:
         "scope_depth": f"WITH RECURSIVE {_S} SELECT context_id, max(depth) AS depth FROM z GROUP BY 1",
         "scope_descendants": f"WITH RECURSIVE {_S} SELECT s.context_id, s.context_id % 5 AS ancestor_id, EXISTS (SELECT 1 FROM z WHERE z.context_id = s.context_id AND z.visible_id = s.context_id % 5 AND depth > 0) AS is_descendant FROM s",
         "restricted_diacritics": f"WITH {_V}, {_Q}, r AS (SELECT DISTINCT translate(query, 'äçèéêíñóöüß', 'aceeeinoous') AS query FROM q) SELECT query, term, 0 AS distance FROM r JOIN v ON length(query) = length(term) AND left(translate(term, 'äçèéêíñóöüß', 'aceeeinoous'), 2) = left(query, 2) WHERE len(list_filter(range(1, length(term) + 1), lambda i: substr(term, i, 1) <> substr(query, i, 1) AND NOT list_contains({_pair_list(DIACRITICS_LATIN)}, substr(term, i, 1) || substr(query, i, 1)))) = 0",
+        "restricted_keyboard": f"""WITH {_V}, {_Q}, r AS (SELECT DISTINCT translate(eq, 'ert', 'rty') AS eq, translate(query, 'ert', 'rty') AS query FROM q),
+  c AS (SELECT query, term, eq, et, length(eq) AS a, length(et) AS b FROM r JOIN v ON abs(length(eq) - length(et)) <= 1 AND (length(eq) < 3 OR length(et) < 3 OR {_alike('1', '1')} OR {_alike('length(et)', 'length(eq)')})),
+  m AS (SELECT query, term, a, b, list_transform(range(1, least(a, b) + 1), lambda i: {_alike('i', 'i')}) AS p, list_transform(range(0, least(a, b)), lambda i: {_alike('b - i', 'a - i')}) AS s FROM c),
+  x AS (SELECT query, term, a, b, coalesce(nullif(list_position(p, FALSE), 0) - 1, len(p)) AS p, coalesce(nullif(list_position(s, FALSE), 0) - 1, len(s)) AS s FROM m)
+  SELECT query, term, CASE WHEN a = b AND p = a THEN 0 ELSE 1 END AS distance FROM x WHERE p + s >= CASE WHEN a = b THEN a - 1 ELSE least(a, b) END""",
         "query_builder": f"WITH {_near(1, 'value >= 2')} SELECT query, term, distance FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, term) <= 2",
         "large_distance": "SELECT DISTINCT a.n_name AS query, t.term, levenshtein(a.n_name, t.term) AS distance FROM nation a, (SELECT c_mktsegment AS term FROM customer UNION SELECT n_name FROM nation) t",
         "udtf_search": f"WITH {_V} SELECT term, levenshtein('house', et) AS distance FROM v WHERE levenshtein('house', et) <= 2",

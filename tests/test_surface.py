@@ -37,6 +37,31 @@ def test_segments_miss_no_pair(spark, algorithm, n):
     assert got == want
 
 
+@pytest.mark.parametrize("algorithm", ["standard", "transposition", "merge_and_split"])
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_restricted_search_is_the_table(spark, algorithm, n):
+    pairs = {("a", "b"), ("b", "c"), ("c", "b"), ("d", "a"), ("c", "a")}
+    words = random_words(10 + n, 60, "abcd", 8)
+
+    def one(t, q):
+        cells = {(0, 0): 0}
+        at = lambda i, j: cells.get((i, j), 99)
+        for i in range(len(t) + 1):
+            for j in range(len(q) + 1):
+                best = [at(i, j), at(i - 1, j) + 1, at(i, j - 1) + 1]
+                if i and j:
+                    best.append(at(i - 1, j - 1) + (t[i - 1] != q[j - 1] and (t[i - 1], q[j - 1]) not in pairs))
+                if algorithm == "transposition" and i > 1 and j > 1 and t[i - 2 : i] == q[j - 2 : j][::-1]:
+                    best.append(at(i - 2, j - 2) + 1)
+                if algorithm == "merge_and_split":
+                    best += [at(i - 2, j - 1) + 1, at(i - 1, j - 2) + 1]
+                cells[i, j] = min(best)
+        return cells[len(t), len(q)]
+
+    got = {tuple(r) for r in search.restricted_join(table(spark, words[::3], "query"), table(spark, words), n, pairs, algorithm).collect()}
+    assert got == {(q, t, d) for q in words[::3] for t in words if (d := one(t, q)) <= n}
+
+
 def test_large_distances_and_blocks(spark, monkeypatch):
     words = random_words(9, 40)
     want = {(q, t, textbook(q, t, "standard")) for q in words for t in words}
