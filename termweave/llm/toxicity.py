@@ -35,8 +35,9 @@ SAMPLE, SAMPLE_BYTES = (2500, 5000), 32 << 20
 EPOCHS, ROUNDS, BATCH, RATE, LEAST_TEXTS, CALM = 4, 3, 64, 2.0, 2, 1e-4
 #: Words in a row that a text's score comes from.
 WINDOW = 64
-#: Words that a worker remembers the scores of.
-REMEMBERED = 200_000
+#: Words in one generation of those that a worker remembers the scores of; when it is full it becomes the old one, from which words
+#: that come up again move on.
+REMEMBERED = 150_000
 _ENDS = b".,;:!?\"'()[]{}|*%&$#@-_"
 
 
@@ -195,19 +196,21 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    known: dict[bytes, float] = {}
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = sent.value
+        m, known, old = sent.value, {}, {}
         for texts in batches:
             out = []
             for at in range(0, len(texts), 256):
                 docs = [unrepeated(x) for x in texts.iloc[at : at + 256]]
-                new = list(set().union(*docs).difference(known))
+                new = set().union(*docs).difference(known)
                 if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(set().union(*docs))
+                    known, old = {}, known
+                    new = set().union(*docs)
+                again = [w for w in new if w in old]
+                known.update((w, old[w]) for w in again)
+                new = list(new.difference(again))
                 bare = [w.strip(_ENDS) for w in new]
                 real = [w for w in set(bare) if w]
                 scores = dict(zip(real, m.word_scores(real).tolist()))
