@@ -67,7 +67,7 @@ def test_mixing_is_its_sql_with_repeated_and_null_ids(spark, odd):
 def test_survivors_with_repeated_rows_and_ids(spark):
     long = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
     rows = [(1, long(1)), (1, long(1)), (1, long(2)), (2, long(2)), (None, long(3)), (4, long(3)), (None, long(5)), (7, ""), (6, None), (8, long(1) + " end")]
-    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, u string, node long")
+    docs = spark.createDataFrame([(*r, "x", 1, 2, "y") for r in rows], "doc_id long, text string, u string, node long, g int, drop string")
     got = collections.Counter((r.doc_id, r.text) for r in minhash.survivors(docs).collect())
     assert got == collections.Counter([(1, long(1)), (1, long(2)), (4, long(3)), (None, long(5)), (6, None)])
     assert minhash.survivors(docs).columns == docs.columns and minhash.survivors(docs.limit(0)).count() == 0
