@@ -10,9 +10,17 @@ distributions sum to one. Scoring takes for each token the longest suffix state
 
 Contexts grow by a word at a time, as long as longer ones are candidates, up to ``DEPTH`` words.
 
+That is the crown of the tree. By its shares it has at most 1 / NEXT frequent words, 1 / CONTEXT contexts and 1 / NEXT entries a
+depth, whatever the input, so it is broadcast. Its branches grow with the input and are never gathered: a token's longest candidate of the
+crown, with one to ``BRANCH`` older words before it, is a candidate if it was learned ``EVIDENCE`` times or more, in plain numbers; it is retained
+by the same test, on the next tokens seen twice or more, and has the same probabilities. There all words that are not frequent
+are one next event, whose share is divided among them as at the root, and an older word that is not frequent is known by 31 bits of its hash.
+The tokens of one candidate and its next older word come together in one bucket, so each branch is counted, tested and used to score
+in one place. No context of a bucket has more than a CONTEXT of all learned tokens, as the crown would hold it.
+
 Counts cover all learned texts: words are counted by a shuffle, and so are the pairs of each depth's candidates and next
-tokens. Texts are turned into ids of frequent words once, in a written table that every depth reads. By the shares above there are at most 1 / NEXT frequent words, 1 / CONTEXT contexts and 1 / NEXT entries a
-depth, whatever the input, so the tree is broadcast; the other words are joined by a shuffle, and none of them is frequent.
+tokens. Texts are turned into ids of frequent words once, in a written table that every depth reads; the other words are joined
+by a shuffle, and none of them is frequent. To the buckets tokens go in columns, compressed, some bytes each.
 
 Cases: null and empty texts are one end; a row with a null id is held out; repeated rows are learned from and scored each; with
 nothing to learn from every token has probability one; an empty table gives no rows; other columns play no part, whatever they are called.
@@ -20,6 +28,7 @@ nothing to learn from every token has probability one; an empty table gives no r
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -34,6 +43,12 @@ from termweave.llm.tokenizing import by_bytes
 from termweave.plans.shared import Cut, ship
 
 CONTEXT, NEXT, DIVERGENCE, SMOOTHING, DEPTH = 5e-5, 1e-6, 0.02, 8.0, 8
+#: Older words before a state of the crown, and how often a context of them must have been learned.
+BRANCH, EVIDENCE = 2, 4
+#: Tokens that a bucket of branches has, about.
+BUCKET = 1_000_000
+#: Stands for a word before the text's start.
+NONE = 0x7FFFFFFF
 END = b""
 #: Words or pairs that a task holds before it passes counts on.
 HELD = 400_000
@@ -55,6 +70,8 @@ class Tree:
     rest: np.ndarray = field(default_factory=lambda: np.zeros(1))
     codes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     logs: np.ndarray = field(default_factory=lambda: np.empty(0))
+    depths: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    depth: int = DEPTH
 
     @property
     def base(self) -> int:
@@ -218,6 +235,7 @@ def grow(tree: Tree, count: Callable[[Tree, np.ndarray], tuple[np.ndarray, np.nd
         tree.step_codes, tree.step_to = all_codes[order], np.concatenate((tree.step_to, new))[order]
         tree.parent = np.concatenate((tree.parent, codes // tree.base))
         tree.rest = np.concatenate((tree.rest, np.zeros(len(new))))
+        tree.depths = np.concatenate((tree.depths, np.full(len(new), level)))
         wanted = np.zeros(len(tree.parent), bool)
         wanted[new] = True
         got, n = count(tree, wanted)
@@ -235,7 +253,7 @@ def grow(tree: Tree, count: Callable[[Tree, np.ndarray], tuple[np.ndarray, np.nd
         tree.codes, tree.logs = more[order], np.concatenate((tree.logs, np.log10(p[use])))[order]
         # a context one word longer is frequent enough only if this one is: x before s ... w follows from counts of w after (x, ...)
         codes, sizes = _longer(tree, got, n, context, level, end, last_word)
-    return _pruned(tree)
+    return tree
 
 
 def _longer(tree: Tree, got: np.ndarray, n: np.ndarray, context: float, level: int, end: int, last_word: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,22 +284,7 @@ def _longer(tree: Tree, got: np.ndarray, n: np.ndarray, context: float, level: i
     return np.array(codes, np.int64), np.array(sizes, np.int64)
 
 
-def _pruned(tree: Tree) -> Tree:
-    """Without states that neither are retained nor lead to one that is."""
-    used = np.zeros(len(tree.parent), bool)
-    used[0] = True
-    if len(tree.codes):
-        used[np.unique(tree.codes // tree.base)] = True
-    used |= tree.rest != 0
-    for s in range(len(used) - 1, 0, -1):
-        if used[s]:
-            used[tree.parent[s]] = True
-    keep = used[tree.step_to]
-    tree.step_codes, tree.step_to = tree.step_codes[keep], tree.step_to[keep]
-    return tree
-
-
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> tuple[Tree, DataFrame]:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, context: float = CONTEXT) -> tuple[Tree, DataFrame]:
     """The tree, and the counts (w, n) of the words that are not frequent."""
     ship(docs.sparkSession)
     learned = _rows(docs, id_col, text_col).where("not held")
@@ -291,7 +294,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     frequent = sorted(((r.n, bytes(r.w)) for r in counted.where((F.col("n") >= least) | (F.length("w") == 0)).toLocalIterator()), key=lambda r: (-r[0], r[1]))
     if not frequent:
         frequent = [(0, END)]
-    tree = Tree([w for _, w in frequent], np.array([n for n, _ in frequent], np.int64), total, distinct)
+    tree = Tree([w for _, w in frequent], np.array([n for n, _ in frequent], np.int64), total, distinct, depth=depth)
 
     encoded = Cut(_encoded(learned, tree), "encoded")
 
@@ -300,47 +303,151 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         return got["code"].to_numpy(), got["n"].to_numpy()
 
     if total:
-        tree = grow(tree, count, depth)
+        tree = grow(tree, count, depth, context)
     encoded.drop()
     return tree, counted.where((F.col("n") < least) & (F.length("w") > 0))
 
 
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of unsigned 32-bit numbers, byte by byte of equal weight, compressed; the first is held as steps."""
+    steps = [np.diff(columns[0], prepend=np.uint32(0)), *columns[1:]]
+    raw = b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in steps)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    raw = pa.Codec("zstd", 1).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    got = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(n, 4, -1).transpose(0, 2, 1)).view("<u4").reshape(n, -1).astype(np.int64)
+    got[0] = np.cumsum(got[0]) & 0xFFFFFFFF
+    return got
+
+
+def _older(tree: Tree, ids: np.ndarray, names: np.ndarray, at: np.ndarray, start: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which tokens have a word before their state's words, and the BRANCH words there of these."""
+    back = at - tree.depths[state] - 1
+    some = (back >= start) & (tree.depths[state] < tree.depth)
+    back, start = back[some], start[some]
+    return some, [np.where(back - k >= start, names[np.maximum(back - k, 0)], NONE) for k in range(BRANCH)]
+
+
+def branch(tree: Tree, learned: np.ndarray, state: np.ndarray, older: list[np.ndarray], word: np.ndarray, divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> np.ndarray:
+    """What each token of a bucket gains in log10 by the branches; all tokens of a (state, first older word) must be here."""
+    other = tree.base - 1
+    first = tree.log10(state, word)
+    rest = np.log10(max(1 - (10 ** tree.roots_[:-1]).sum(), 1e-12))
+    now = first + np.where(word == other, rest, 0.0)
+    gained, going, group = np.zeros(len(word)), np.arange(len(word)), state
+    for x in older:
+        inside = x[going] != NONE
+        going = going[inside]
+        if not len(going):
+            break
+        _, group = np.unique((group[inside] << 32) | x[going], return_inverse=True)
+        own = learned[going]
+        size = np.bincount(group, own).astype(float)
+        enough = size[group] >= EVIDENCE
+        going, own = going[enough], own[enough]
+        if not len(going):
+            break
+        _, group = np.unique(group[enough], return_inverse=True)
+        size = np.bincount(group, own).astype(float)
+        codes, lead, entry = np.unique(group * tree.base + word[going], return_index=True, return_inverse=True)
+        of, n = codes // tree.base, np.bincount(entry, own)
+        seen = n >= 2
+        up = 10 ** now[going[lead]]
+        p = (n + smoothing * up) / (size[of] + smoothing)
+        left = np.maximum(1 - np.bincount(of, p * seen, len(size)), 1e-12)
+        left_up = np.maximum(1 - np.bincount(of, up * seen, len(size)), 1e-12)
+        apart = np.bincount(of, np.where(seen, p * np.log(p / up), 0.0), len(size)) + left * np.log(left / left_up)
+        kept = apart >= divergence
+        gain = np.where(kept[of], np.where(seen, np.log10(p / up), np.log10(left / left_up)[of]), 0.0)[entry]
+        now[going] += gain
+        gained[going] += gain
+    return gained
+
+
 def score(docs: DataFrame, tree: Tree, others: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, held, n_tokens, n_known, base, score) per row of docs."""
+    """(i, held, n_tokens, n_known, base, score) per row of docs; branches learn from those of its rows that are not held out."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(tree)
+    buckets = 1 + tree.total // BUCKET
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = sent.value
         known = {w: i for i, w in enumerate(tree.words)}
         row, other = TaskContext.get().partitionId() << 36, len(tree.words)
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
+            for part in by_bytes(batch, 2, HELD_BYTES):
                 ids, at, docs = _ids(part.column(2).to_pylist(), known, tree)
                 word = ids[at]
                 sizes = np.array([len(d) + 1 for d in docs])
                 own = np.repeat(np.arange(len(docs)), sizes)
                 total = lambda x: np.bincount(own, x, len(docs))  # noqa: E731, B023
-                base, full = total(tree.roots_[word]), total(tree.log10(tree.state(ids, at), word))
+                state = tree.state(ids, at)
+                base, full = total(tree.roots_[word]), total(tree.log10(state, word))
                 seen = total((word < other) & (tree.counts[np.minimum(word, other - 1)] > 0)).astype(np.int64)
-                begin, rare = 0, []
+                begin, rare, hashes = 0, [], []
                 for d, size in zip(docs, sizes.tolist()):
-                    rare.append(Counter([d[k] for k in np.flatnonzero(word[begin : begin + size - 1] == other).tolist()]))
+                    found = [d[k] for k in np.flatnonzero(word[begin : begin + size - 1] == other).tolist()]
+                    hashes += [zlib.crc32(w) for w in found]
+                    rare.append(Counter(found))
                     begin += size
-                arrays = [pa.array(range(row, row + len(docs)), pa.int64()), part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(seen), pa.array(base), pa.array(full)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int32()))], names=["row", "i", "held", "n_tokens", "seen", "base", "full", "words", "times"])
-                row += len(docs)
-
-    local = Cut(_rows(docs, id_col, text_col).mapInArrow(run, "row long, i long, held boolean, n_tokens long, seen long, base double, full double, words array<binary>, times array<int>"), "scored").df
+                n = len(docs)
+                rows = [pa.array(range(row, row + n), pa.int64()), part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(seen), pa.array(base), pa.array(full), pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*rows, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+
+                names = ids.copy()
+                names[ids == other] = np.array(hashes, np.int64) | 0x80000000
+                start = np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes)
+                some, older = _older(tree, ids, names, at, start, state)
+                held = np.array(part.column(1).to_pylist(), bool)
+                mark, state, word = (own * 2 + held[own])[some], state[some], word[some]
+                key = (state.astype(np.uint64) << np.uint64(32) | older[0].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                bucket = ((key >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int32)
+                order = np.argsort(bucket, kind="stable")
+                columns = [c[order].astype(np.uint32) for c in (mark, state, word, *older)]
+                named, starts = np.unique(bucket[order], return_index=True)
+                blobs = [_packed([c[a:b] for c in columns]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)])]
+                m = len(blobs)
+                rows = [pa.array([row] * m, pa.int64()), *(pa.nulls(m, f.type) for f in list(schema)[1:9]), pa.array(named.astype(np.int32)), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, schema=schema)
+                row += n
+
+    def grown(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        tree = sent.value
+        got = [_unpacked(b, 3 + BRANCH) for b in table.column("blob").to_pylist()]
+        ends = np.cumsum([g.shape[1] for g in got])
+        mark, state, word, *older = np.concatenate(got, axis=1)
+        gains = branch(tree, mark % 2 == 0, state, older, word)
+        parts, out = [], []
+        for part, a, b in zip(table.column("row").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            hit = a + np.flatnonzero(gains[a:b])
+            if len(hit):
+                places, place = np.unique(mark[hit] // 2, return_inverse=True)
+                sums = np.bincount(place, gains[hit]).astype("<f4").view("<u4")
+                parts.append(part)
+                out.append(_packed([places.astype(np.uint32), sums]))
+        return pa.table({"part": pa.array(parts, pa.int64()), "blob": pa.array(out, pa.binary())})
+
+    def summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        places, sums = np.concatenate([_unpacked(b, 2) for b in table.column("blob").to_pylist()], axis=1)
+        gains = np.bincount(places, np.ascontiguousarray(sums.astype("<u4")).view("<f4").astype(float))
+        return pa.table({"r2": pa.array(np.arange(len(gains)) + key[0].as_py(), pa.int64()), "gain": pa.array(gains)})
+
+    types = [("row", pa.int64()), ("i", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("full", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("bucket", pa.int32()), ("blob", pa.binary())]
+    schema = pa.schema(types)
+    both = Cut(_rows(docs, id_col, text_col).mapInArrow(run, "row long, i long, held boolean, n_tokens long, seen long, base double, full double, words array<binary>, times array<int>, bucket int, blob binary"), "scored").df
+    local = both.where("bucket is null")
+    gains = both.where("bucket is not null").select("bucket", "row", "blob").groupBy("bucket").applyInArrow(grown, "part long, blob binary").groupBy("part").applyInArrow(summed, "r2 long, gain double")
     each = local.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("w"), F.col("x.times").alias("times"))
     counted = others.select(F.col("w").alias("o"), "n")
     found = each.join(counted, F.col("w") == F.col("o"), "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1)))
     sums = found.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also"))
     joined = local.select("row", "i", "held", "n_tokens", "seen", "base", "full").join(sums.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
+    joined = joined.join(gains, F.col("row") == F.col("r2"), "left")
     more = F.coalesce("more", F.lit(0.0))
-    return joined.select("i", "held", "n_tokens", (F.col("seen") + F.coalesce("also", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base"), (F.col("full") + more).alias("score"))
+    return joined.select("i", "held", "n_tokens", (F.col("seen") + F.coalesce("also", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base"), (F.col("full") + more + F.coalesce("gain", F.lit(0.0))).alias("score"))
 
 
 def op5_suffix_tree(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Odd inputs that once gave wrong results: folded letters, repeated ids, broken frames."""
 
 import collections
+import functools
 import sys
 import unicodedata
 import zlib
@@ -149,7 +150,7 @@ def brute_tree(texts, context, rare, divergence, smoothing, depth):
     after = collections.defaultdict(collections.Counter)
     for q in seqs:
         for at in range(1, len(q)):
-            for n in range(1, min(depth, at) + 1):
+            for n in range(1, min(depth + suffix_tree.BRANCH, at) + 1):
                 after[tuple(q[at - n : at])][q[at]] += 1
     frequent = {w for w, n in words.items() if n >= max(1, rare * total) or w == end}
     kept, seen = {}, {(): None}
@@ -179,28 +180,83 @@ def brute_tree(texts, context, rare, divergence, smoothing, depth):
         kept.update(found)
         level = new
 
+    other = object()
+    kind = lambda w: w if w in frequent else other
+    classes = {ctx: collections.Counter() for ctx in after}
+    for ctx, nexts in after.items():
+        for w, n in nexts.items():
+            classes[ctx][kind(w)] += n
+    mass = 1 - sum((words[w] + 1) / (total + distinct + 1) for w in frequent)
+
+    def crown(ctx, w):
+        return prob(ctx, w) if w is not other else mass * np.prod([kept[ctx[k:]][1] for k in range(len(ctx)) if ctx[k:] in kept])
+
+    @functools.cache
+    def branched(ctx, k, w):
+        """Probability of a word or of all others, k older words before a crown's context."""
+        if not k:
+            return crown(ctx, w)
+        shorter = ctx[1:]
+        size = classes[ctx].total() if ctx in classes else 0
+        if size < suffix_tree.EVIDENCE:
+            return branched(shorter, k - 1, w)
+        up = {v: branched(shorter, k - 1, v) for v, n in classes[ctx].items() if n >= 2}
+        p = {v: (classes[ctx][v] + smoothing * up[v]) / (size + smoothing) for v in up}
+        left, left_up = max(1 - sum(p.values()), 1e-12), max(1 - sum(up.values()), 1e-12)
+        if sum(p[v] * np.log(p[v] / up[v]) for v in p) + left * np.log(left / left_up) < divergence:
+            return branched(shorter, k - 1, w)
+        counted[0] += 1
+        return p[w] if w in p else branched(shorter, k - 1, w) * left / left_up
+
+    counted = [0]
+
     def score(text):
         q = [end, *text.encode().lower().split(), end]
         out = 0.0
         for at in range(1, len(q)):
             ctx = next((c for n in range(min(depth, at), 0, -1) if (c := tuple(q[at - n : at])) in kept), ())
             out += np.log10(prob(ctx, q[at]))
+            s = next((n for n in range(min(depth, at), 0, -1) if tuple(q[at - n : at]) in seen), 0)
+            k = min(suffix_tree.BRANCH, at - s) if s < depth else 0
+            here = tuple(q[at - s - k : at])
+            out += np.log10(branched(here, k, kind(q[at])) / crown(here[k:], kind(q[at])))
         return out, max(map(len, kept), default=0)
 
+    score.counted = counted
+
     return score
 
 
-def test_suffix_tree_is_the_definition(spark, monkeypatch):
+@pytest.mark.parametrize(("context", "depth"), [(suffix_tree.CONTEXT, 5), (0.02, 5), (0.02, 1), (0.5, 5)])
+def test_suffix_tree_is_the_definition(spark, monkeypatch, context, depth):
     rng = np.random.default_rng(8)
     passage = "one two three four five six seven eight nine ten eleven twelve"
-    texts = [" ".join([*rng.choice(["a", "b", "c", "d", f"r{k}"], 12), passage if k % 3 else "", *rng.choice(["a", "b", "e"], 6)]) for k in range(90)] + ["", "A b"]
+    rare = "Ünder der rarest of words seldom seen elsewhere"
+    texts = [" ".join([*rng.choice(["a", "b", "c", "d", f"r{k}"], 12), passage if k % 3 else "", rare if k % 17 == 0 else "", *rng.choice(["a", "b", "e"], 6)]) for k in range(90)] + ["", "A b"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    monkeypatch.setattr(suffix_tree, "NEXT", 1e-3)
-    brute = brute_tree([t for i, t in enumerate(texts) if not held(i)], suffix_tree.CONTEXT, 1e-3, suffix_tree.DIVERGENCE, suffix_tree.SMOOTHING, 5)
-    tree, others = suffix_tree.learn(docs, depth=5)
+    monkeypatch.setattr(suffix_tree, "NEXT", 4e-3)
+    monkeypatch.setattr(suffix_tree, "BUCKET", 300)
+    brute = brute_tree([t for i, t in enumerate(texts) if not held(i)], context, 4e-3, suffix_tree.DIVERGENCE, suffix_tree.SMOOTHING, depth)
+    tree, others = suffix_tree.learn(docs, depth=depth, context=context)
     got = {r.i: r.score for r in suffix_tree.score(docs, tree, others).collect()}
-    assert all(abs(got[i] - brute(t)[0]) < 1e-6 for i, t in enumerate(texts)) and brute("a")[1] > 2
+    assert all(abs(got[i] - brute(t)[0]) < 1e-4 for i, t in enumerate(texts))
+    assert brute("a")[1] > 2 if context < 0.01 else brute.counted[0] > 0
+
+
+def test_branches_grow_with_the_input(spark):
+    """A passage of ten texts is remembered where a context needs one in a hundred of all tokens to be in the crown."""
+    passage = [f"p{k}" for k in range(60)]
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["u", "v", "w", "x", "y"], 200)) for _ in range(300)]
+    for k in range(0, 300, 30):
+        texts[k] += " " + " ".join(passage)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree, others = suffix_tree.learn(docs, context=0.01)
+    with_branches = {r.i: r.score for r in suffix_tree.score(docs, tree, others).collect()}
+    plain = {r.i: r.base for r in suffix_tree.score(docs, tree, others).collect()}
+    told = [(with_branches[k] - plain[k]) - (with_branches[k + 1] - plain[k + 1]) for k in range(0, 300, 30)]
+    assert min(told) > 60  # a power of ten for each word of the passage, at the least
 
 
 def test_wide_radii_in_large_buckets_are_compared_block_by_block(spark, monkeypatch):
