@@ -52,8 +52,8 @@ NONE = 0x7FFFFFFF
 END = b""
 #: Words or pairs that a task holds before it passes counts on.
 HELD = 400_000
-#: Bytes of texts that a task encodes at once, about.
-HELD_BYTES = 4 << 20
+#: Bytes of texts that a task encodes at once, and tokens that it sends to buckets at once, about.
+HELD_BYTES, SENT = 1 << 20, 1_000_000
 
 
 @dataclass
@@ -72,6 +72,10 @@ class Tree:
     logs: np.ndarray = field(default_factory=lambda: np.empty(0))
     depths: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     depth: int = DEPTH
+    #: The last word of each state's context.
+    newest: np.ndarray = field(default_factory=lambda: np.full(1, -1, np.int64))
+    #: The longest retained suffix of each state.
+    own: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
     @property
     def base(self) -> int:
@@ -83,9 +87,13 @@ class Tree:
 
     def state(self, ids: np.ndarray, at: np.ndarray, base: int | None = None) -> np.ndarray:
         """Longest suffix state before each place."""
-        out, going = np.zeros(len(at), np.int64), np.arange(len(at))
-        back, base = 1, base or self.base
-        while len(going) and len(self.step_codes):
+        base = base or self.base
+        first = np.zeros(base, np.int64)
+        one = slice(0, int(np.searchsorted(self.step_codes, base)))
+        first[self.step_codes[one]] = self.step_to[one]
+        out = np.where(at >= 1, first[ids[at - 1]], 0)
+        going, back = np.flatnonzero(out), 2
+        while len(going):
             going = going[at[going] >= back]
             codes = out[going] * base + ids[at[going] - back]
             k = np.minimum(np.searchsorted(self.step_codes, codes), len(self.step_codes) - 1)
@@ -97,7 +105,7 @@ class Tree:
 
     def log10(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 of each word's probability in its state; of words not frequent without the root's part."""
-        out, going, s = np.zeros(len(state)), np.arange(len(state)), state.copy()
+        out, going, s = np.zeros(len(state)), np.arange(len(state)), self.own[state]
         while len(going):
             root = s[going] == 0
             out[going[root]] += self.roots_[word[going[root]]]
@@ -110,7 +118,7 @@ class Tree:
             out[going[hit]] += self.logs[k[hit]]
             going = going[~hit]
             out[going] += self.rest[s[going]]
-            s[going] = self.parent[s[going]]
+            s[going] = self.own[self.parent[s[going]]]
         return out
 
     def __post_init__(self) -> None:
@@ -186,6 +194,8 @@ def _count_next(encoded: DataFrame, tree: Tree, wanted: np.ndarray) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, base, wanted = sent.value
+        before = np.zeros(base, bool)
+        before[tree.newest[wanted]] = True
         codes, counts, fresh, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
@@ -196,14 +206,14 @@ def _count_next(encoded: DataFrame, tree: Tree, wanted: np.ndarray) -> DataFrame
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 lists = batch.column(0).slice(a, 128)
-                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
                 lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                mask = np.ones(len(ids), bool)
-                mask[np.cumsum(lengths) - lengths] = False
-                at = np.flatnonzero(mask)
-                state, word = tree.state(ids, at, base), ids[at]
-                keep = wanted[state] & (word < base - 1)
-                fresh.append(state[keep] * base + word[keep])
+                mask = before[ids[:-1]] & (ids[1:] < base - 1)
+                mask[np.cumsum(lengths)[:-1] - 1] = False
+                at = np.flatnonzero(mask) + 1
+                state = tree.state(ids, at, base)
+                keep = wanted[state]
+                fresh.append(state[keep] * base + ids[at[keep]])
                 size += len(fresh[-1])
                 if size > 4 * HELD:
                     codes, counts = merge()
@@ -235,6 +245,7 @@ def grow(tree: Tree, count: Callable[[Tree, np.ndarray], tuple[np.ndarray, np.nd
         tree.step_codes, tree.step_to = all_codes[order], np.concatenate((tree.step_to, new))[order]
         tree.parent = np.concatenate((tree.parent, codes // tree.base))
         tree.rest = np.concatenate((tree.rest, np.zeros(len(new))))
+        tree.newest = np.concatenate((tree.newest, codes if level == 1 else tree.newest[codes // tree.base]))
         tree.depths = np.concatenate((tree.depths, np.full(len(new), level)))
         wanted = np.zeros(len(tree.parent), bool)
         wanted[new] = True
@@ -248,6 +259,7 @@ def grow(tree: Tree, count: Callable[[Tree, np.ndarray], tuple[np.ndarray, np.nd
         apart = np.bincount(k, p * np.log(p / up), len(new)) + left * np.log(left / left_up)
         kept = apart >= divergence
         tree.rest[new[kept]] = np.log10(left / left_up)[kept]
+        tree.own = np.concatenate((tree.own, np.where(kept, new, tree.own[tree.parent[new]])))
         use = kept[k]
         order = np.argsort(more := np.concatenate((tree.codes, got[use])), kind="stable")
         tree.codes, tree.logs = more[order], np.concatenate((tree.logs, np.log10(p[use])))[order]
@@ -317,8 +329,8 @@ def _packed(columns: list[np.ndarray]) -> bytes:
 
 def _unpacked(blob: bytes, n: int) -> np.ndarray:
     raw = pa.Codec("zstd", 1).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
-    got = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(n, 4, -1).transpose(0, 2, 1)).view("<u4").reshape(n, -1).astype(np.int64)
-    got[0] = np.cumsum(got[0]) & 0xFFFFFFFF
+    got = np.frombuffer(raw, np.uint8).reshape(n, 4, -1).transpose(0, 2, 1).copy().view("<u4").reshape(n, -1)
+    np.cumsum(got[0], dtype=np.uint32, out=got[0])
     return got
 
 
@@ -333,41 +345,37 @@ def _older(tree: Tree, ids: np.ndarray, names: np.ndarray, at: np.ndarray, start
 def branch(tree: Tree, learned: np.ndarray, state: np.ndarray, older: list[np.ndarray], word: np.ndarray, divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> np.ndarray:
     """What each token of a bucket gains in log10 by the branches; all tokens of a (state, first older word) must be here."""
     other = tree.base - 1
-    first = tree.log10(state, word)
     rest = np.log10(max(1 - (10 ** tree.roots_[:-1]).sum(), 1e-12))
-    now = first + np.where(word == other, rest, 0.0)
     gained, going, group = np.zeros(len(word)), np.arange(len(word)), state
     for x in older:
         inside = x[going] != NONE
         going = going[inside]
-        if not len(going):
-            break
         _, group = np.unique((group[inside] << 32) | x[going], return_inverse=True)
-        own = learned[going]
-        size = np.bincount(group, own).astype(float)
-        enough = size[group] >= EVIDENCE
-        going, own = going[enough], own[enough]
+        enough = np.bincount(group, learned[going])[group] >= EVIDENCE
+        going = going[enough]
         if not len(going):
             break
         _, group = np.unique(group[enough], return_inverse=True)
-        size = np.bincount(group, own).astype(float)
         codes, lead, entry = np.unique(group * tree.base + word[going], return_index=True, return_inverse=True)
-        of, n = codes // tree.base, np.bincount(entry, own)
-        seen = n >= 2
-        up = 10 ** now[going[lead]]
-        p = (n + smoothing * up) / (size[of] + smoothing)
-        left = np.maximum(1 - np.bincount(of, p * seen, len(size)), 1e-12)
-        left_up = np.maximum(1 - np.bincount(of, up * seen, len(size)), 1e-12)
-        apart = np.bincount(of, np.where(seen, p * np.log(p / up), 0.0), len(size)) + left * np.log(left / left_up)
-        kept = apart >= divergence
-        gain = np.where(kept[of], np.where(seen, np.log10(p / up), np.log10(left / left_up)[of]), 0.0)[entry]
-        now[going] += gain
-        gained[going] += gain
+        n = np.bincount(entry, learned[going])
+        seen, lead = n >= 2, going[lead]
+        size, k, lead = np.bincount(group, learned[going]).astype(float), codes[seen] // tree.base, lead[seen]
+        up = 10 ** (tree.log10(state[lead], word[lead]) + np.where(word[lead] == other, rest, 0.0) + gained[lead])
+        p = (n[seen] + smoothing * up) / (size[k] + smoothing)
+        left = np.maximum(1 - np.bincount(k, p, len(size)), 1e-12)
+        left_up = np.maximum(1 - np.bincount(k, up, len(size)), 1e-12)
+        kept = np.bincount(k, p * np.log(p / up), len(size)) + left * np.log(left / left_up) >= divergence
+        gain = np.where(kept, np.log10(left / left_up), 0.0)[codes // tree.base]
+        gain[seen] = np.where(kept[k], np.log10(p / up), 0.0)
+        gained[going] += gain[entry]
     return gained
 
 
 def score(docs: DataFrame, tree: Tree, others: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, held, n_tokens, n_known, base, score) per row of docs; branches learn from those of its rows that are not held out."""
+    """(i, held, n_tokens, n_known, base, score) per row of docs; branches learn from those of its rows that are not held out.
+
+    Texts are read once: the sums of a part's rows travel beside their tokens, as a group of their own, below zero.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(tree)
     buckets = 1 + tree.total // BUCKET
@@ -376,6 +384,20 @@ def score(docs: DataFrame, tree: Tree, others: DataFrame, id_col: str = "doc_id"
         tree = sent.value
         known = {w: i for i, w in enumerate(tree.words)}
         row, other = TaskContext.get().partitionId() << 36, len(tree.words)
+        begun, waiting, size_waiting = row, [], 0
+
+        def sent_on() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*waiting)]
+            waiting.clear()
+            bucket = columns.pop()
+            order = np.argsort(bucket, kind="stable")
+            columns = [c[order] for c in columns]
+            named, starts = np.unique(bucket[order], return_index=True)
+            blobs = [_packed([c[a:b] for c in columns]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)])]
+            m = len(blobs)
+            rows = [pa.array([begun] * m, pa.int64()), *(pa.nulls(m, f.type) for f in list(schema)[1:9]), pa.array(named.astype(np.int64)), pa.array(blobs, pa.binary())]
+            return pa.RecordBatch.from_arrays(rows, schema=schema)
+
         for batch in batches:
             for part in by_bytes(batch, 2, HELD_BYTES):
                 ids, at, docs = _ids(part.column(2).to_pylist(), known, tree)
@@ -394,30 +416,34 @@ def score(docs: DataFrame, tree: Tree, others: DataFrame, id_col: str = "doc_id"
                     begin += size
                 n = len(docs)
                 rows = [pa.array(range(row, row + n), pa.int64()), part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(seen), pa.array(base), pa.array(full), pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*rows, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*rows, pa.array([-1 - row] * n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
 
                 names = ids.copy()
                 names[ids == other] = np.array(hashes, np.int64) | 0x80000000
                 start = np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes)
                 some, older = _older(tree, ids, names, at, start, state)
                 held = np.array(part.column(1).to_pylist(), bool)
-                mark, state, word = (own * 2 + held[own])[some], state[some], word[some]
+                mark, state, word = ((own + row - begun) * 2 + held[own])[some], state[some], word[some]
                 key = (state.astype(np.uint64) << np.uint64(32) | older[0].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                bucket = ((key >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int32)
-                order = np.argsort(bucket, kind="stable")
-                columns = [c[order].astype(np.uint32) for c in (mark, state, word, *older)]
-                named, starts = np.unique(bucket[order], return_index=True)
-                blobs = [_packed([c[a:b] for c in columns]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)])]
-                m = len(blobs)
-                rows = [pa.array([row] * m, pa.int64()), *(pa.nulls(m, f.type) for f in list(schema)[1:9]), pa.array(named.astype(np.int32)), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, schema=schema)
+                bucket = (key >> np.uint64(24)) % np.uint64(buckets)
+                waiting.append([*(c.astype(np.uint32) for c in (mark, state, word, *older)), bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64)])
+                size_waiting += len(word)
                 row += n
+                if size_waiting > SENT:
+                    yield sent_on()
+                    begun, size_waiting = row, 0
+        if size_waiting:
+            yield sent_on()
 
     def grown(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return table
         tree = sent.value
         got = [_unpacked(b, 3 + BRANCH) for b in table.column("blob").to_pylist()]
         ends = np.cumsum([g.shape[1] for g in got])
-        mark, state, word, *older = np.concatenate(got, axis=1)
+        mark, *columns = np.concatenate(got, axis=1)
+        del got
+        state, word, *older = (c.astype(np.int64) for c in columns)
         gains = branch(tree, mark % 2 == 0, state, older, word)
         parts, out = [], []
         for part, a, b in zip(table.column("row").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
@@ -426,19 +452,22 @@ def score(docs: DataFrame, tree: Tree, others: DataFrame, id_col: str = "doc_id"
                 places, place = np.unique(mark[hit] // 2, return_inverse=True)
                 sums = np.bincount(place, gains[hit]).astype("<f4").view("<u4")
                 parts.append(part)
-                out.append(_packed([places.astype(np.uint32), sums]))
-        return pa.table({"part": pa.array(parts, pa.int64()), "blob": pa.array(out, pa.binary())})
+                out.append(_packed([places, sums]))
+        m = len(parts)
+        rows = [pa.array(parts, pa.int64()), *(pa.nulls(m, f.type) for f in list(schema)[1:9]), pa.array([0] * m, pa.int64()), pa.array(out, pa.binary())]
+        return pa.Table.from_arrays(rows, schema=schema)
 
     def summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         places, sums = np.concatenate([_unpacked(b, 2) for b in table.column("blob").to_pylist()], axis=1)
         gains = np.bincount(places, np.ascontiguousarray(sums.astype("<u4")).view("<f4").astype(float))
         return pa.table({"r2": pa.array(np.arange(len(gains)) + key[0].as_py(), pa.int64()), "gain": pa.array(gains)})
 
-    types = [("row", pa.int64()), ("i", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("full", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("bucket", pa.int32()), ("blob", pa.binary())]
+    types = [("row", pa.int64()), ("i", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("full", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("bucket", pa.int64()), ("blob", pa.binary())]
     schema = pa.schema(types)
-    both = Cut(_rows(docs, id_col, text_col).mapInArrow(run, "row long, i long, held boolean, n_tokens long, seen long, base double, full double, words array<binary>, times array<int>, bucket int, blob binary"), "scored").df
-    local = both.where("bucket is null")
-    gains = both.where("bucket is not null").select("bucket", "row", "blob").groupBy("bucket").applyInArrow(grown, "part long, blob binary").groupBy("part").applyInArrow(summed, "r2 long, gain double")
+    fields = "row long, i long, held boolean, n_tokens long, seen long, base double, full double, words array<binary>, times array<int>, bucket long, blob binary"
+    both = Cut(_rows(docs, id_col, text_col).mapInArrow(run, fields).groupBy("bucket").applyInArrow(grown, fields), "scored").df
+    local = both.where("bucket < 0")
+    gains = both.where("bucket = 0").select("row", "blob").groupBy("row").applyInArrow(summed, "r2 long, gain double")
     each = local.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("w"), F.col("x.times").alias("times"))
     counted = others.select(F.col("w").alias("o"), "n")
     found = each.join(counted, F.col("w") == F.col("o"), "left")
@@ -453,5 +482,6 @@ def score(docs: DataFrame, tree: Tree, others: DataFrame, id_col: str = "doc_id"
 def op5_suffix_tree(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     tree, others = learn(docs)
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner deletes the shuffle files of what is no longer referred to
     got = score(docs, tree, others)
     return got.select(F.col("i").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
