@@ -46,14 +46,44 @@ CONTEXT, NEXT, DIVERGENCE, SMOOTHING, DEPTH = 5e-5, 1e-6, 0.02, 8.0, 8
 #: Older words before a state of the crown, and how often a context of them must have been learned.
 BRANCH, EVIDENCE = 2, 4
 #: Tokens that a bucket of branches has, about.
-BUCKET = 1_000_000
+BUCKET = 600_000
 #: Stands for a word before the text's start.
 NONE = 0x7FFFFFFF
 END = b""
 #: Words or pairs that a task holds before it passes counts on.
 HELD = 400_000
 #: Bytes of texts that a task encodes at once, and tokens that it sends to buckets at once, about.
-HELD_BYTES, SENT = 1 << 20, 1_000_000
+HELD_BYTES, SENT = 1 << 20, 700_000
+
+
+class Places:
+    """Where each of many codes stands in its array; a table of hashed slots, as a search of a sorted array is slow for all tokens."""
+
+    def __init__(self, codes: np.ndarray):
+        self.bits = max(4, (2 * len(codes)).bit_length())
+        self.at, self.codes = np.full(1 << self.bits, -1, np.int32), codes
+        left, slot = np.arange(len(codes), dtype=np.int32), self._slots(codes)
+        while len(left):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = left[free]  # of several codes for a slot, one stays
+            out = self.at[slot] != left
+            left, slot = left[out], (slot[out] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, or -1."""
+        slot = self._slots(codes)
+        out = self.at[slot]
+        going = np.flatnonzero(out >= 0)
+        going = going[self.codes[out[going]] != codes[going]]
+        while len(going):
+            slot[going] = (slot[going] + 1) & ((1 << self.bits) - 1)
+            out[going] = self.at[slot[going]]
+            going = going[out[going] >= 0]
+            going = going[self.codes[out[going]] != codes[going]]
+        return out
 
 
 @dataclass
@@ -113,8 +143,8 @@ class Tree:
             if not len(going):
                 break
             codes = s[going] * self.base + word[going]
-            k = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
-            hit = self.codes[k] == codes if len(self.codes) else np.zeros(len(going), bool)
+            k = self.places_.find(codes)
+            hit = k >= 0
             out[going[hit]] += self.logs[k[hit]]
             going = going[~hit]
             out[going] += self.rest[s[going]]
@@ -123,6 +153,7 @@ class Tree:
 
     def __post_init__(self) -> None:
         self.roots_ = self.roots()
+        self.places_ = Places(self.codes)
 
 
 def held_out(id_col: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -263,6 +294,7 @@ def grow(tree: Tree, count: Callable[[Tree, np.ndarray], tuple[np.ndarray, np.nd
         use = kept[k]
         order = np.argsort(more := np.concatenate((tree.codes, got[use])), kind="stable")
         tree.codes, tree.logs = more[order], np.concatenate((tree.logs, np.log10(p[use])))[order]
+        tree.places_ = Places(tree.codes)
         # a context one word longer is frequent enough only if this one is: x before s ... w follows from counts of w after (x, ...)
         codes, sizes = _longer(tree, got, n, context, level, end, last_word)
     return tree
@@ -350,12 +382,13 @@ def branch(tree: Tree, learned: np.ndarray, state: np.ndarray, older: list[np.nd
     for x in older:
         inside = x[going] != NONE
         going = going[inside]
-        _, group = np.unique((group[inside] << 32) | x[going], return_inverse=True)
-        enough = np.bincount(group, learned[going])[group] >= EVIDENCE
+        _, group = np.unique((group[inside].astype(np.int64) << 32) | x[going], return_inverse=True)
+        often = np.bincount(group, learned[going]) >= EVIDENCE
+        enough = often[group]
         going = going[enough]
         if not len(going):
             break
-        _, group = np.unique(group[enough], return_inverse=True)
+        group = (np.cumsum(often) - 1)[group[enough]]
         codes, lead, entry = np.unique(group * tree.base + word[going], return_index=True, return_inverse=True)
         n = np.bincount(entry, learned[going])
         seen, lead = n >= 2, going[lead]
@@ -441,9 +474,8 @@ def score(docs: DataFrame, tree: Tree, others: DataFrame, id_col: str = "doc_id"
         tree = sent.value
         got = [_unpacked(b, 3 + BRANCH) for b in table.column("blob").to_pylist()]
         ends = np.cumsum([g.shape[1] for g in got])
-        mark, *columns = np.concatenate(got, axis=1)
+        mark, state, word, *older = np.concatenate(got, axis=1)
         del got
-        state, word, *older = (c.astype(np.int64) for c in columns)
         gains = branch(tree, mark % 2 == 0, state, older, word)
         parts, out = [], []
         for part, a, b in zip(table.column("row").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
