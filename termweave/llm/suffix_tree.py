@@ -203,7 +203,7 @@ def _ids(texts: list[bytes], known: dict[bytes, int], tree: Tree) -> tuple[np.nd
 
 
 def _encoded(learned: DataFrame, tree: Tree) -> DataFrame:
-    """(ids) of each text, between two ends."""
+    """(blob) of some texts' ids, each text between two ends."""
     sent = learned.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,20 +211,18 @@ def _encoded(learned: DataFrame, tree: Tree) -> DataFrame:
         known = {w: i for i, w in enumerate(tree.words)}
         for batch in batches:
             for part in by_bytes(batch, 0, HELD_BYTES):
-                ids, _, docs = _ids(part.column(0).to_pylist(), known, tree)
-                ends = np.cumsum([0] + [len(d) + 2 for d in docs])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([lists], names=["ids"])
+                ids, _, _ = _ids(part.column(0).to_pylist(), known, tree)
+                yield pa.RecordBatch.from_arrays([pa.array([_packed([ids], 0)], pa.binary())], names=["blob"])
 
-    return learned.select("t").mapInArrow(run, "ids array<int>")
+    return learned.select("t").mapInArrow(run, "blob binary")
 
 
 def _count_next(encoded: DataFrame, tree: Tree, wanted: np.ndarray) -> DataFrame:
     """(code, n): how often each frequent word follows each wanted state."""
-    sent = encoded.sparkSession.sparkContext.broadcast((replace(tree, words=[], counts=tree.counts[:0]), tree.base, wanted))
+    sent = encoded.sparkSession.sparkContext.broadcast((replace(tree, words=[], counts=tree.counts[:0]), tree.base, wanted, tree.words.index(END)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, base, wanted = sent.value
+        tree, base, wanted, end = sent.value
         before = np.zeros(base, bool)
         before[tree.newest[wanted]] = True
         codes, counts, fresh, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
@@ -235,12 +233,10 @@ def _count_next(encoded: DataFrame, tree: Tree, wanted: np.ndarray) -> DataFrame
             return both, np.bincount(place, np.concatenate((counts, n)), len(both)).astype(np.int64)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                lists = batch.column(0).slice(a, 128)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            for blob in batch.column(0):
+                ids = _unpacked(blob.as_py(), 1, 0)[0]
                 mask = before[ids[:-1]] & (ids[1:] < base - 1)
-                mask[np.cumsum(lengths)[:-1] - 1] = False
+                mask[np.flatnonzero(ids == end)[1:-1:2]] = False  # from one text's end to the next one's start
                 at = np.flatnonzero(mask) + 1
                 state = tree.state(ids, at, base)
                 keep = wanted[state]
@@ -352,17 +348,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     return tree, counted.where((F.col("n") < least) & (F.length("w") > 0))
 
 
-def _packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of unsigned 32-bit numbers, byte by byte of equal weight, compressed; the first is held as steps."""
-    steps = [np.diff(columns[0], prepend=np.uint32(0)), *columns[1:]]
-    raw = b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in steps)
+def _packed(columns: list[np.ndarray], steps: int = 1) -> bytes:
+    """Columns of unsigned 32-bit numbers, byte by byte of equal weight, compressed; the first ``steps`` are held as steps."""
+    held = [*(np.diff(c, prepend=np.uint32(0)) for c in columns[:steps]), *columns[steps:]]
+    raw = b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in held)
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
-def _unpacked(blob: bytes, n: int) -> np.ndarray:
+def _unpacked(blob: bytes, n: int, steps: int = 1) -> np.ndarray:
     raw = pa.Codec("zstd", 1).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     got = np.frombuffer(raw, np.uint8).reshape(n, 4, -1).transpose(0, 2, 1).copy().view("<u4").reshape(n, -1)
-    np.cumsum(got[0], dtype=np.uint32, out=got[0])
+    for c in got[:steps]:
+        np.cumsum(c, dtype=np.uint32, out=c)
     return got
 
 
