@@ -1,6 +1,6 @@
 """Chat formatting by schema fingerprints; DataFrame functions only.
 
-A record is a JSON text of any known layout. The nested paths of its fields, without their types, are hashed;
+A record is a JSON text, or a struct, of any known layout. The nested paths of its fields, without their types, are hashed;
 the hash picks a declarative mapping that gives canonical turns (role, content). Turns are written as
 ``<|im_start|>role<|im_sep|>content<|im_end|>`` and a line feed, with spans (start, length) of what a model is trained on:
 the contents of assistant turns. In roles and contents a backslash is doubled, and every control string gets a backslash
@@ -13,10 +13,12 @@ order of role and text; an empty table gives no rows; columns other than id and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed strings that mark turns in this or other templates.
 CONTROLS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -42,12 +44,19 @@ class Layout:
             return f"OBJECT<{self.items}: ARRAY<OBJECT<{first}: , {second}: >>>"
         return "OBJECT<" + ", ".join(f"{f}: " for f in sorted(f for _, fields in self.turns for f in fields)) + ">"
 
+    def fields(self) -> set[str]:
+        return {self.items} if self.items else {f for _, fields in self.turns for f in fields}
+
     def canonical(self, v: Column) -> Column:
-        text = lambda path: F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+        """Turns of a variant."""
+        return self.read(lambda f: F.try_variant_get(v, f"$.{f}", "string"), lambda f: F.try_variant_get(v, f"$.{f}", f"array<struct<{self.role}:string,{self.content}:string>>"))
+
+    def read(self, text: Callable[[str], Column], listed: Callable[[str], Column]) -> Column:
+        """Turns, from what a field of texts and the field of messages hold."""
         if not self.items:
-            made = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[text(f"$.{f}") for f in fields]), lambda x: x != ""), "\n\n").alias("content")) for role, fields in self.turns]
+            made = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[F.coalesce(text(f), F.lit("")) for f in fields]), lambda x: x != ""), "\n\n").alias("content")) for role, fields in self.turns]
             return F.array(*made).cast(TURNS)
-        got = F.try_variant_get(v, f"$.{self.items}", f"array<struct<{self.role}:string,{self.content}:string>>")
+        got = listed(self.items)
 
         def turn(x: Column) -> Column:
             role = F.coalesce(x[self.role], F.lit(""))
@@ -123,45 +132,61 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("id", turns.alias("turns"), trained.alias("trained"), F.length("text").alias("n_chars"))
 
 
-def records_of(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, record): rows by turn as JSON records, in the layout that a conversation's roles fit."""
+def _shape(value: Column, kind: T.DataType) -> Column:
+    """value with its texts emptied and one member of each shape in its lists: it has the paths of value, at a small size."""
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_shape(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.array_distinct(F.transform(value, lambda x: _shape(x, kind.elementType)))
+    return F.when(value.isNotNull(), F.lit(""))
+
+
+def nested_turns(records: DataFrame, id_col: str, record_col: str, layouts: tuple[Layout, ...]) -> DataFrame:
+    """(id, layout, turns) per row of records: as canonical_turns, of records that are structs, whose null fields count as absent.
+
+    The fingerprint is that of the record's shape, so that no text is put into JSON, whose size is limited.
+    """
+    kind = records.schema[record_col].dataType
+    record = F.col(record_col)
+    shape = F.parse_json(F.to_json(_shape(record, kind), {"ignoreNullFields": "true"}))
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for layout in layouts:
+        if layout.fields() <= set(kind.fieldNames()):  # no record has a field that the struct has not
+            is_it = F.col("print") == F.xxhash64(F.lit(layout.paths()))
+            if layout.items:
+                is_it = is_it | (F.col("print") == F.xxhash64(F.lit(f"OBJECT<{layout.items}: ARRAY>")))
+            made = layout.read(lambda f: F.col("record")[f], lambda f: F.col("record")[f])
+            name, turns = F.when(is_it, layout.name).otherwise(name), F.when(is_it, made).otherwise(turns)
+    return records.select(F.col(id_col).alias("id"), record.alias("record"), fingerprint(shape).alias("print")).select("id", name.alias("layout"), turns.alias("turns"))
+
+
+def nested_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(id, record): rows by turn as structs, in the layout that a conversation's roles fit; the fields of other layouts are null."""
     turn = F.struct(F.col(turn_col).alias("n"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"))
     grouped = rows.groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("m"))
-    roles, text = F.array_join(F.transform("m", lambda x: x["role"]), ","), lambda k: F.col("m")[k]["content"]
+    roles, text = F.transform(F.slice("m", 1, 4), lambda x: x["role"]), lambda k: F.get("m", F.lit(k))["content"]
+    two, three = (roles == F.array(*map(F.lit, names)) for names in (("user", "assistant"), ("system", "user", "assistant")))
     talk = F.forall("m", lambda x: x["role"].isin("user", "assistant"))
     shared = F.transform("m", lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["content"].alias("value")))
     plain = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    record = (
-        F.when(roles == "user,assistant", F.to_json(F.struct(text(0).alias("prompt"), F.get("m", F.lit(1))["content"].alias("response"))))
-        .when(roles == "system,user,assistant", F.to_json(F.struct(text(0).alias("system"), F.get("m", F.lit(1))["content"].alias("prompt"), F.get("m", F.lit(2))["content"].alias("response"))))
-        .when(talk, F.to_json(F.struct(shared.alias("conversations"))))
-        .otherwise(F.to_json(F.struct(plain.alias("messages"))))
+    record = F.struct(
+        F.when(three, text(0)).alias("system"),
+        F.when(two, text(0)).when(three, text(1)).alias("prompt"),
+        F.when(two, text(1)).when(three, text(2)).alias("response"),
+        F.when(~two & ~three & talk, shared).alias("conversations"),
+        F.when(~two & ~three & ~talk, plain).alias("messages"),
     )
     return grouped.select("id", record.alias("record"))
 
 
-def turns_of(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, layout, turns): what canonical_turns makes of records_of(rows), without texts in JSON, whose size is limited.
+def records_of(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(id, record): those of nested_records as JSON texts."""
+    return nested_records(rows, id_col, turn_col, role_col, text_col).select("id", F.to_json("record", {"ignoreNullFields": "true"}).alias("record"))
 
-    The layout is picked by the fingerprint of a record with the fields of the first turns and no texts.
-    """
-    turn = F.struct(F.col(turn_col).alias("n"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"))
-    grouped = rows.groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("m"))
-    roles = F.array_join(F.transform(F.slice("m", 1, 4), lambda x: x["role"]), ",")
-    fields = lambda *names: F.to_json(F.struct(*[F.lit("").alias(x) for x in names]))
-    items = lambda name, *names: F.to_json(F.struct(F.array(F.struct(*[F.lit("").alias(x) for x in names])).alias(name)))
-    record = (
-        F.when(roles == "user,assistant", fields("prompt", "response"))
-        .when(roles == "system,user,assistant", fields("system", "prompt", "response"))
-        .when(F.forall("m", lambda x: x["role"].isin("user", "assistant")), items("conversations", "from", "value"))
-        .otherwise(items("messages", "role", "content"))
-    )
-    turns = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    v = F.parse_json(record)
-    name = F.lit(None).cast("string")
-    for layout in LAYOUTS:
-        name = F.when(F.col("print") == F.xxhash64(F.lit(layout.paths())), layout.name).otherwise(name)
-    return grouped.select("id", fingerprint(v).alias("print"), turns.alias("turns")).select("id", name.alias("layout"), "turns")
+
+def turns_of(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(id, layout, turns): what canonical_turns makes of records_of(rows), for texts of any size: through the same mappings, from structs."""
+    return nested_turns(nested_records(rows, id_col, turn_col, role_col, text_col), "id", "record", LAYOUTS)
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:

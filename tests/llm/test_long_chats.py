@@ -1,6 +1,7 @@
 """Conversations beyond the sizes that a JSON record can have."""
 
 import hashlib
+from dataclasses import replace
 
 from termweave.llm import chat
 
@@ -21,3 +22,17 @@ def test_turns_are_those_of_records(spark):
     as_set = lambda df: {(r.id, r.layout, tuple(map(tuple, r.turns))) for r in df.select("id", "layout", "turns").collect()}
     assert as_set(chat.turns_of(talk)) == as_set(chat.canonical_turns(chat.records_of(talk), "id", "record"))
     assert chat.turns_of(talk.limit(0)).count() == 0
+
+
+def test_layout_decides_turns(spark, tmp_path, monkeypatch):
+    """Turns come through the mapping that a record's fingerprint picks: without it there are none, and another one gives others."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user,assistant", "d"), (4, 0, "system", "e"), (4, 1, "user", "f"), (4, 2, "assistant", "g")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    talk.write.parquet(str(tmp_path / "conversations.parquet"))
+    turns = lambda: {r.id: r.turns and [tuple(t) for t in r.turns] for r in chat.turns_of(talk).collect()}
+    assert turns() == {k: [r[2:] for r in rows if r[0] == k] for k in (1, 2, 3, 4)}
+    other = {"prompt_response": {"turns": (("assistant", ("prompt",)), ("user", ("response",)))}, "shared": {"names": {}}}
+    monkeypatch.setattr(chat, "LAYOUTS", tuple(replace(x, **other.get(x.name, {})) for x in chat.LAYOUTS if x.name != "messages"))
+    assert turns() == {1: [("assistant", "hi"), ("user", "yo")], 2: [("human", "a"), ("gpt", "b"), ("human", "c")], 3: None, 4: [r[2:] for r in rows if r[0] == 4]}
+    got = {r.conv_id: (r.n_turns, r.loss_sha256) for r in chat.op10_chat(spark, str(tmp_path)).collect()}
+    assert got[1] == (2, hashlib.sha256(b"hi").hexdigest()) and got[2] == (3, hashlib.sha256(b"").hexdigest())
