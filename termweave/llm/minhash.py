@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from termweave.llm.sieve import Sieve
 from termweave.llm.simhash import SEED, shingle_hashes
 from termweave.plans.components import components
-from termweave.plans.shared import Cut, ship
+from termweave.plans.shared import Cut, release, ship
 
 BANDS, ROWS = 40, 6
 #: Shingles of the members that a task compares with each other at once, about.
@@ -174,6 +174,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
 
     def cut(df: DataFrame, what: str) -> DataFrame:
         held.append(Cut(df, what))
+        release(docs.sparkSession)
         return held[-1].df
 
     marks = Cut(_marks(docs, id_col, text_col, words), "marks").df

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -34,6 +37,28 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = True
 
 
+def release(spark: SparkSession) -> str:
+    """Give memory that the driver has freed back to the system; what its JVM says of it, nothing where it cannot.
+
+    The C library keeps what a thread frees in a heap of that thread, and a driver's hundreds of threads come and go with the stages:
+    after a few hundred stages that space is a fifth of the driver's memory.
+    """
+    gc.collect()
+    if os.name == "posix" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+    gateway = spark.sparkContext._gateway
+    java, javax = gateway.jvm.java, gateway.jvm.javax
+    args = gateway.new_array(java.lang.Object, 4)
+    args[0], args[1] = javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    args[2], args[3] = gateway.new_array(java.lang.Object, 0), gateway.new_array(java.lang.String, 0)
+    # the server's own class is not open to callers, its interface is
+    invoke = next(m for m in java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        return invoke.invoke(java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:  # another JVM, or one that has no such command
+        return ""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -92,3 +92,15 @@ def test_keys_meet_at_the_threshold():
         x = rng.integers(0, 1 << 63, 100, np.uint64)
         missed += not set(minhash.band_keys(x[:90])) & set(minhash.band_keys(x[10:]))
     assert missed == 0
+
+
+def test_stages_give_back_freed_memory(spark, tmp_path, monkeypatch):
+    from termweave.plans import shared
+
+    assert "rim" in shared.release(spark)  # the JVM knows the command: it trims, or says that it cannot here
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "release", lambda s: calls.append("stage"))
+    monkeypatch.setattr(minhash, "release", lambda s: calls.append("cut"))
+    docs = spark.createDataFrame([(k, f"a text of its own w{k}", "en", "s", 1) for k in range(5)], COLUMNS)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).count() == 5
+    assert calls.count("cut") > 5 and calls[-1] == "stage"
