@@ -1,8 +1,9 @@
-"""Near duplicates by exact Jaccard similarity of word shingles; MinHash only finds the pairs to be compared.
+"""Near duplicates by exact Jaccard similarity of word shingles; SimHash and MinHash only find the pairs to be compared.
 
 A text is cut into words as in ``simhash``; its set is that of the XXH64 of every run of ``words`` words. Texts of equal
 sets are one node. Two nodes are linked if and only if their sets have Jaccard similarity ``least`` or more, and rows that
-links join, directly or not, form a group. Nodes that share one of BANDS keys of ROWS minima each are compared: at similarity
+links join, directly or not, form a group. Nodes are compared that the covering search of ``simhash`` links, as their fingerprints differ in
+RADIUS bits at most: that finds near copies, and few of the pairs near similarity 0.8. For the rest, nodes that share one of BANDS keys of ROWS minima each are compared: at similarity
 0.8 a pair shares none with probability (1 - 0.8^6)^40 = 0.000005, above it with less; pairs of
 similarity 0.2, which share a passage and no more, meet in one case of 400.
 
@@ -27,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm import simhash
 from termweave.llm.sieve import Sieve
 from termweave.llm.simhash import SEED, shingle_hashes
 from termweave.plans.components import components
 from termweave.plans.shared import Cut, release, ship
 
+#: Bits by which the fingerprints of nodes differ that the covering search links.
+RADIUS = 4
 BANDS, ROWS = 40, 6
 #: Shingles of the members that a task compares with each other at once, about.
 BLOCK = 1 << 20
@@ -73,20 +77,21 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, u, node, size, keys) per row."""
+    """(id, u, node, size, fp, keys) per row."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_set(text, words)
                 nodes.append(_signed(xxh64_intdigest(hashes.tobytes(), SEED)))
                 sizes.append(len(hashes))
+                prints.append(simhash.fold(hashes))
                 keys.append(band_keys(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "u", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "u", "node", "size", "fp", "keys"])
 
-    return _source(docs, id_col, text_col).mapInArrow(run, "id long, u long, node long, size long, keys array<long>")
+    return _source(docs, id_col, text_col).mapInArrow(run, "id long, u long, node long, size long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -179,13 +184,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
 
     marks = Cut(_marks(docs, id_col, text_col, words), "marks").df
     best = F.struct(F.col("id").isNull().alias("none"), "id", "u")  # the smallest id, null last
-    nodes = cut(marks.groupBy("node").agg(F.min(best).alias("first"), F.min("u").alias("w"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    nodes = cut(marks.groupBy("node").agg(F.min(best).alias("first"), F.min("u").alias("w"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
     dealt = nodes.select("node", F.explode("keys").alias("key"))
     buckets = cut(dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"), "buckets")
     large = cut(buckets.where("n > 2").select(F.col("key").alias("bucket"), "lo"), "large")
     again, _ = Sieve(large, "bucket").split(dealt, F.col("key"))
     members = cut(again.join(large.hint("merge"), F.col("key") == F.col("bucket")).where("node <> lo").select("bucket", "lo", "node"), "members")
-    pairs = cut(buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(members.select(F.col("lo").alias("a"), F.col("node").alias("b"))).distinct(), "pairs")
+    near = simhash.links(nodes.where("size > 0").select("node", "fp"), RADIUS, 1, None, cut).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(near.unionByName(buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).unionByName(members.select(F.col("lo").alias("a"), F.col("node").alias("b"))).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end"))).distinct()
     wanted = cut(nodes.select("node", "w").join(ends.hint("merge"), F.col("node") == F.col("end"), "left_semi"), "wanted")
     sets = cut(_sets(docs, id_col, text_col, words, wanted), "sets")

@@ -18,7 +18,7 @@ gives no rows; columns other than id and text play no part, whatever they are ca
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.plans.components import components
-from termweave.plans.shared import Cut, ship
+from termweave.plans.shared import Cut, cut, ship
 
 SEED = 42
 #: Words of the shingles that candidates are searched by where similarity is decided by longer ones: an edit touches fewer of them.
@@ -153,19 +153,19 @@ def _compare(groups: DataFrame, radius: int, both: int | None) -> DataFrame:
     return groups.select("g").mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, radius: int, parts: int, both: int | None) -> DataFrame:
+def links(nodes: DataFrame, radius: int, parts: int, both: int | None, held: Callable[[DataFrame, str], DataFrame] = cut) -> DataFrame:
     """Edges (a, b) between rows of nodes (node, fp[, fp2, c, c2]) that connect what links connect.
 
     A first pass counts buckets, with sums made before the shuffle. Rows of buckets with more than one row come
     together in a second; up to PAIRWISE_MOST they are compared in numpy, and only a spanning forest leaves the task.
     Fingerprints of still larger buckets are exploded to every midpoint within half the radius: two of them are linked if they
-    share one, and a midpoint has a bounded number of distinct fingerprints around it, so no group is ever unbounded.
+    share one, and a midpoint has a bounded number of distinct fingerprints around it, so no group is ever unbounded. held writes a table.
     """
     cols = ["node", "fp"] if both is None else ["node", "fp", "fp2", "c", "c2"]
     masks = [(c, _signed(m)) for c in (["fp"] if both is None else ["c", "c2"]) for m in covering_masks(radius, parts)]
     keys = F.array(*[F.xxhash64(F.lit(k), F.col(c).bitwiseAND(F.lit(m))) for k, (c, m) in enumerate(masks)])
     dealt = nodes.select(*cols, F.explode(keys).alias("key"))
-    buckets = Cut(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("bucket"), "n"), "buckets").df
+    buckets = held(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("bucket"), "n"), "buckets")
     me = F.struct(*cols)
     few = dealt.join(buckets.where(f"n <= {PAIRWISE_MOST}"), F.col("key") == F.col("bucket")).groupBy("key").agg(F.collect_list(me).alias("g"))
     edges = _compare(few, radius, both)

@@ -5,7 +5,9 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from termweave.llm import minhash
+from pyspark.sql import functions as F
+
+from termweave.llm import minhash, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -104,3 +106,20 @@ def test_stages_give_back_freed_memory(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(k, f"a text of its own w{k}", "en", "s", 1) for k in range(5)], COLUMNS)
     assert corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).count() == 5
     assert calls.count("cut") > 5 and calls[-1] == "stage"
+
+
+def test_fingerprints_find_what_their_radius_covers(spark, monkeypatch):
+    """Without any key of minima, pairs within the radius are still found by their fingerprints, and links are still decided on the sets."""
+    r, texts = random.Random(12), []
+    for k in range(40):
+        base = [f"b{k}w{j}" for j in range(400 + r.randrange(200))]
+        texts += [" ".join(base), " ".join(edited(r, base, f"{k}", True, 1))]
+    texts += ["", " ", "one two", "ONE two", "one two three"]
+    marks = minhash._marks
+    monkeypatch.setattr(minhash, "_marks", lambda *a: marks(*a).withColumn("keys", F.array().cast("array<long>")))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.id: x.component for x in minhash.near_duplicates(docs).collect()}
+    prints = [simhash.fold(minhash.shingle_set(t.encode(), 5)) for t in texts]
+    within = [k for k in range(0, 80, 2) if ((prints[k] ^ prints[k + 1]) & (2**64 - 1)).bit_count() <= minhash.RADIUS]
+    assert len(within) > 20
+    assert got == {k: k - 1 if k % 2 and k - 1 in within else k for k in range(80)} | {80: 80, 81: 80, 82: 82, 83: 82, 84: 84}
