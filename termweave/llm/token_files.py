@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.tokenizing import by_bytes, encoder
+from termweave.llm.tokenizing import by_bytes, encoder, parts
 from termweave.plans.shared import fresh_path, ship
 
 NULL_ID = -(1 << 63)
@@ -52,7 +52,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     os.makedirs(at, exist_ok=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
+        words = encoder(tokenizer, dtype)
         shard, docs, total = TaskContext.get().partitionId(), 0, 0
         names = [f"{at}/shard-{shard:06d}.{kind}" for kind in ("idx", "doc", "bin")]
         private = [f"{name}.{TaskContext.get().taskAttemptId()}" for name in names]
@@ -61,12 +61,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             offsets.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
                 for part in by_bytes(batch, 1, HELD_BYTES):
-                    encoded = words.encode(part.column(1).to_pylist())
-                    sizes = np.array([len(x) // len(end) + 1 for x in encoded], np.uint64)
-                    flat.writelines(x + end for x in encoded)
-                    offsets.write((np.uint64(total) + np.cumsum(sizes, dtype=np.uint64)).astype("<u8").tobytes())
+                    bounds, encoded = parts(words.encode_array(part.column(1)))
+                    ends = bounds[1:] // np.dtype(dtype).itemsize
+                    flat.write(np.insert(np.frombuffer(encoded, dtype), ends, end_id))
+                    ends = ends + np.arange(1, len(ends) + 1)
+                    offsets.write((total + ends).astype("<u8").tobytes())
                     ids.write(part.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                    docs, total = docs + len(encoded), total + int(sizes.sum())
+                    docs, total = docs + len(ends), total + int(ends[-1])
         if not docs:
             for name in private:
                 os.remove(name)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,6 +34,32 @@ def test_encoder_equals_library_on_every_letter_and_mark(name):
             assert np.array(want.ids, "<u4").tobytes() == got, ascii(text)
 
 
+class Counted:
+    """A tokenizer that counts the calls to its encoding methods."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def __getattr__(self, name):
+        self.calls += name.startswith("encode")
+        return getattr(self.tokenizer, name)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_words_of_a_batch_reach_the_library_together(name):
+    """The library was called for the new words of every 64 texts. Slices, nulls and odd texts keep their places in an array."""
+    path = public_tokenizers.path(name)
+    library, own = Tokenizer.from_file(path), tokenizing.WordEncoder(path, "<u4")
+    own.tokenizer = Counted(own.tokenizer)
+    texts = [f"The naïve wörd{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}, of\n{'abcdefghij'[k % 10] * (k % 7 + 1)}. End." for k in range(1500)]
+    assert [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)] == own.encode(texts)
+    assert own.tokenizer.calls <= 4
+    mixed = pa.array(["cut off", None, "", "a  b", "Ends. ", *texts[:3], "J\u030c, J.", "\u3000x", " led", "\nled", ".", "x<|endoftext|>", "", "no\u00a0break", "last,"]).slice(1)
+    want = [np.array(library.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in mixed.to_pylist()]
+    assert own.encode_array(mixed).to_pylist() == want
+    assert own.encode_array(mixed.slice(0, 0)).to_pylist() == [] and own.encode_array(mixed.slice(1, 1)).to_pylist() == [b""]
+
+
 def test_repeated_query_ids(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(60, 4)).round(3)
