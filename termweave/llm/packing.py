@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col
         for batch in batches:
             for part in by_bytes(batch, 1, HELD_BYTES):
                 cols: list[list] = [[], [], [], [], [], []]
-                for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), words.encode_array(part.column(1)).to_pylist()):
                     ids += end
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[a : a + 4 * capacity]

@@ -60,6 +60,14 @@ def test_new_words_of_a_batch_reach_the_library_together(name):
     assert own.encode_array(mixed.slice(0, 0)).to_pylist() == [] and own.encode_array(mixed.slice(1, 1)).to_pylist() == [b""]
 
 
+def test_a_word_is_remembered_once_whatever_stands_around_it():
+    """op3: Word, word. and a word behind a line feed were remembered, and looked up, each by itself."""
+    own = tokenizing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), "<u4")
+    got = own.encode(["Word word, word.\nWORD wört", "word", "wört word."])
+    assert got[2] == got[0][-len(own.encode(["wört"])[0]) :] + got[1] + own.encode(["."])[0]
+    assert len(own.known) == 4
+
+
 def test_repeated_query_ids(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(60, 4)).round(3)
