@@ -18,6 +18,8 @@ Nothing is broadcast unchecked. A distance above the longest word is that word's
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,18 +129,20 @@ def candidates(queries: DataFrame, terms: DataFrame, n: int, algorithm: str = ST
     return long.where(fits).unionByName(near.join(few, "s").select("q", "d", "t", "c").where(fits)).distinct()
 
 
-def _nested(q: DataFrame, t: DataFrame, n: int, algorithm: str) -> DataFrame:
-    """Pairs through one scan of the terms for each block of queries; a block's number of queries is bounded."""
+def blocks(q: DataFrame, col: str, most: int) -> list[DataFrame]:
+    """The rows of q, whose texts in a column are distinct, in blocks of a bounded number."""
     many = q.count()
+    if many <= most:
+        return [q]
+    count = -(-2 * many // most)  # half full, so that an uneven deal by hashes stays below the bound
+    dealt = Cut(q.withColumn("b", F.pmod(F.xxhash64(col), F.lit(count)).cast("int")), "queries").df
+    return [dealt.where(F.col("b") == b).drop("b") for b in range(count)]
+
+
+def _nested(q: DataFrame, t: DataFrame, n: int, algorithm: str) -> DataFrame:
+    """Pairs through one scan of the terms for each block of queries."""
     near = lambda block: t.join(F.broadcast(block), may_be_within(F.col("c"), F.col("d"), n, algorithm)).select("q", "d", "t", "c")
-    if many <= NESTED_MOST:
-        return near(q)
-    blocks = -(-2 * many // NESTED_MOST)  # half full, so that an uneven deal by hashes stays below the bound
-    dealt = Cut(q.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")), "queries").df
-    out = near(dealt.where("b = 0").drop("b"))
-    for b in range(1, blocks):
-        out = out.unionByName(near(dealt.where(F.col("b") == b).drop("b")))
-    return out
+    return reduce(DataFrame.unionByName, map(near, blocks(q, "q", NESTED_MOST)))
 
 
 def similarity_join(queries: DataFrame, terms: DataFrame, n: int, algorithm: str = STANDARD, unit: str = "char", query_col: str = "query", term_col: str = "term", plan: str = "auto") -> DataFrame:

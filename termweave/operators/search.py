@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.functions.distance import ALGORITHMS, STANDARD, distance, generalized_distance, restricted_distance
-from termweave.operators.join import PLANS, Alternatives, _numbers, candidates, similarity_join
+from termweave.functions.distance import ALGORITHMS, STANDARD, distance, generalized_distance, prefix_distance, restricted_distance
+from termweave.operators.join import PLANS, SEGMENTS_MOST, Alternatives, _numbers, _segments, blocks, candidates, similarity_join
 from termweave.plans.shared import ship
 
 DEFAULT_DISTANCE = 2
+#: Keys of queries that a prefix search broadcasts at once.
+PREFIX_KEYS_MOST = 100_000
 
 
 def top_k(matches: DataFrame, k: int) -> DataFrame:
@@ -18,18 +22,46 @@ def top_k(matches: DataFrame, k: int) -> DataFrame:
     return matches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _prefix_keys(q: DataFrame, n: int) -> DataFrame:
+    """(query, rank, o, s, x): what stands in a term, at o, if one of its prefixes is within n of the query. The empty text where any term may match.
+
+    Of n + 1 segments of a query some segment k is untouched with k operations on its left, so that it is k places away at most.
+    """
+    parts = []
+    for k in range(n + 1 if n <= SEGMENTS_MOST else 0):
+        start, size = _segments(F.length("query"), n + 1, k, 0)
+        for shift in range(-k, k + 1):
+            parts.append(F.struct(F.lit(len(parts)).alias("rank"), (start + shift).alias("o"), size.alias("s"), F.substring("query", start + 1, size).alias("x")))
+    free = F.array(F.struct(F.lit(0).alias("rank"), F.lit(0).alias("o"), F.lit(0).alias("s"), F.lit("").alias("x")))
+    keys = F.when(F.length("query") > n, F.array(*parts)).otherwise(free) if parts else free
+    return q.select("query", F.explode(keys).alias("k")).select("query", "k.*")
+
+
+def _first_key(n: int) -> Column:
+    """Whether no key of a lower rank matches, too: a pair comes once."""
+    out, rank = F.lit(True), 0
+    for k in range(n + 1 if n <= SEGMENTS_MOST else 0):
+        start, size = _segments(F.length("query"), n + 1, k, 0)
+        for shift in range(-k, k + 1):
+            out, rank = out & ((F.col("rank") <= rank) | (F.substring("term", start + shift + 1, size) != F.substring("query", start + 1, size))), rank + 1
+    return out
+
+
 def prefix_join(queries: DataFrame, terms: DataFrame, n: int, query_col: str = "query", term_col: str = "term") -> DataFrame:
     """(query, term, distance): terms of which some prefix is within n of the query, at its least distance.
 
-    Prefixes of the lengths that can count are joined like terms, each distinct prefix once, and lead back to their terms.
+    Segments of the queries are broadcast in counted blocks and sought in the terms, which are neither cut into prefixes nor shuffled.
     """
     q = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).alias("query")).distinct()
-    lengths = q.select(F.explode(_numbers(F.greatest(F.length("query") - n, F.lit(0)), F.length("query") + n)).alias("k")).distinct()
     t = terms.where(F.col(term_col).isNotNull()).select(F.col(term_col).alias("term")).distinct()
-    exploded = t.select("term", F.explode(_numbers(F.lit(0), F.length("term"))).alias("k")).join(lengths, "k", "left_semi")
-    prefixes = exploded.select("term", F.expr("substring(term, 1, k)").alias("prefix"))
-    near = similarity_join(q, prefixes.select("prefix").distinct(), n, term_col="prefix")
-    return near.withColumnRenamed("term", "prefix").join(prefixes, "prefix").groupBy("query", "term").agg(F.min("distance").alias("distance"))
+
+    def near(block: DataFrame) -> DataFrame:
+        keys = _prefix_keys(block, n)
+        cut = t.join(F.broadcast(keys.select("o", "s").distinct()), F.col("o") + F.col("s") <= F.length("term"))
+        met = cut.withColumn("x", F.expr("substring(term, o + 1, s)")).join(F.broadcast(keys), ["o", "s", "x"]).where(_first_key(n))
+        return met.select("query", "term", prefix_distance(F.col("query"), F.col("term"), n).alias("distance")).where("distance IS NOT NULL")
+
+    return reduce(DataFrame.unionByName, map(near, blocks(q, "query", PREFIX_KEYS_MOST // min(n + 1, SEGMENTS_MOST + 1) ** 2)))
 
 
 def starts_with(queries: DataFrame, terms: DataFrame, query_col: str = "query", term_col: str = "term") -> DataFrame:

@@ -59,6 +59,19 @@ def test_index_and_builder(spark):
     assert {r.term for r in search.starts_with(table(spark, ["bar"], "query"), valued).collect()} == {"bar", "bark", "barn", "barley"}
 
 
+def test_prefix_join_is_exact_and_shuffles_no_prefixes(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda most: "".join(r.choice("abé") for _ in range(r.randrange(most)))
+    have, ask = {word(9) for _ in range(80)} | {""}, {word(7) for _ in range(30)} | {""}
+    least = {(q, t): min(textbook(q, t[:k], "standard") for k in range(len(t) + 1)) for q in ask for t in have}
+    for n, most in ((1, 100_000), (1, 40), (2, 100_000), (5, 100_000)):  # 40 keys: several blocks
+        monkeypatch.setattr(search, "PREFIX_KEYS_MOST", most)
+        got = search.prefix_join(table(spark, ask, "query"), table(spark, [*have, *have]), n)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(prefix" not in plan and "SortMergeJoin" not in plan
+        assert sorted(map(tuple, got.collect())) == sorted((q, t, d) for (q, t), d in least.items() if d <= n)
+
+
 def test_restricted(spark):
     got = search.restricted_join(table(spark, ["t3st", "xest"], "query"), table(spark, ["test", "best"]), 0, [("e", "3")]).collect()
     assert [tuple(r) for r in got] == [("t3st", "test", 0)]
