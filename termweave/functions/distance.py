@@ -117,14 +117,21 @@ def restricted_distance(term: Column, query: Column, pairs: Iterable[tuple[str,
 
 def prefix_distance(query: Column, term: Column, n: int) -> Column:
     """Least distance of the query to a prefix of the term, null above n; only prefixes of near length can count."""
-    if 0 < n <= 4:  # in codegen, without an array
-        size = lambda j: F.length(query) + j
-        return F.least(*[F.when((size(j) >= 0) & (size(j) <= F.length(term)), F.nullif(F.levenshtein(query, F.substring(term, F.lit(1), size(j)), n), F.lit(-1))) for j in range(-n, n + 1)])
     low, high = F.greatest(F.length(query) - n, F.lit(0)), F.least(F.length(query) + n, F.length(term))
     tried = F.when(low <= high, F.transform(F.sequence(low, high), lambda k: F.levenshtein(query, F.substring(term, F.lit(1), k), n)))
     return F.array_min(F.filter(tried, lambda d: d >= 0))
 
 
+def capped_prefix_distance(query: Column, term: Column, n: int) -> Column:
+    """prefix_distance for a small n that is not 0, n + 1 above n: in codegen, without arrays, and each distance stands there once."""
+    def tried(j: int) -> Column:
+        size = F.length(query) + j
+        near = F.pmod(F.levenshtein(query, F.substring(term, F.lit(1), size), n), F.lit(n + 2))  # -1 becomes n + 1
+        return F.when((size >= 0) & (size <= F.length(term)), near).otherwise(n + 1)
+
+    return F.least(*[tried(j) for j in range(-n, n + 1)])
+
+
 def common_affixes(a: Column, b: Column) -> Column:
     """(prefix, suffix): lengths of the common prefix and of the common suffix of the rest."""
     shorter = F.least(F.length(a), F.length(b))

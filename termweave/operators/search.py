@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.functions.distance import ALGORITHMS, STANDARD, distance, generalized_distance, prefix_distance, restricted_distance
+from termweave.functions.distance import ALGORITHMS, STANDARD, capped_prefix_distance, distance, generalized_distance, prefix_distance, restricted_distance
 from termweave.operators.join import PLANS, SEGMENTS_MOST, Alternatives, _numbers, _segments, blocks, candidates, similarity_join
 from termweave.plans.shared import ship
 
@@ -59,7 +59,13 @@ def prefix_join(queries: DataFrame, terms: DataFrame, n: int, query_col: str = "
         keys = _prefix_keys(block, n)
         cut = t.join(F.broadcast(keys.select("o", "s").distinct()), F.col("o") + F.col("s") <= F.length("term"))
         met = cut.withColumn("x", F.expr("substring(term, o + 1, s)")).join(F.broadcast(keys), ["o", "s", "x"]).where(_first_key(n))
-        return met.select("query", "term", prefix_distance(F.col("query"), F.col("term"), n).alias("distance")).where("distance IS NOT NULL")
+        if 0 < n <= SEGMENTS_MOST:  # one prefix is within 2 n, if any is within n
+            met = met.where(F.expr(f"levenshtein(query, substring(term, 1, length(query)), {2 * n}) >= 0"))
+            least = capped_prefix_distance(F.col("query"), F.col("term"), n)
+        else:
+            least = prefix_distance(F.col("query"), F.col("term"), n)
+        # exploded, as the distance would be put into the filter and be computed there, too
+        return met.select("query", "term", F.explode(F.array(least)).alias("distance")).where(F.col("distance") <= n)
 
     return reduce(DataFrame.unionByName, map(near, blocks(q, "query", PREFIX_KEYS_MOST // min(n + 1, SEGMENTS_MOST + 1) ** 2)))
 
