@@ -8,7 +8,8 @@ Plans, all exact:
   split changes two neighbouring characters; for these there is a gap of one
   character between segments, so that it still reaches one segment only. Both sides explode to (length, segment
   number, segment) and meet in an equi-join, whose pairs are tested, made distinct and verified. Terms too short for that meet through
-  deletion neighbourhoods: both words come to a common one by n deletions (merges and splits take two).
+  deletion neighbourhoods: both words come to a common one by n deletions (merges and splits take two). So do, up to two deletions, the words
+  of a segment that many queries and many terms share, such as the beginning of numbered names: all its pairs would be tested.
 * ``nested``: a broadcast of the queries, in counted blocks of NESTED_MOST, and a scan of the terms for each.
 * ``auto`` (the default): segments up to a distance of SEGMENTS_MOST. Beyond it segments are so short that they choose nothing, and
   most pairs of words are within the distance anyway: nested.
@@ -30,6 +31,10 @@ from termweave.plans.shared import Cut, ship
 NESTED_MOST = 2000
 #: Largest distance for which segments choose.
 SEGMENTS_MOST = 4
+#: Columns of a segment's key.
+KEY = ["n", "k", "s"]
+#: Queries and terms from which a segment that they share chooses too little, and deletions up to which such words meet through neighbourhoods.
+CROWD, DROPPED_MOST = 500, 2
 PLANS = ("auto", "segments", "nested")
 
 
@@ -113,6 +118,17 @@ def deletions(word: Column, most: int) -> Column:
     return F.array_distinct(out)
 
 
+def _crowded(asked: DataFrame, had: DataFrame) -> DataFrame | None:
+    """The keys that many queries and many terms share, None if there are none."""
+    many = lambda df: df.groupBy(KEY).count().where(F.col("count") > CROWD).select(KEY)
+    own = Cut(many(asked), "crowded")
+    if own.df.isEmpty():
+        own.drop()
+        return None
+    both = Cut(many(had.join(own.df, KEY, "left_semi")), "crowded")
+    return None if both.df.isEmpty() else both.df
+
+
 def candidates(queries: DataFrame, terms: DataFrame, n: int, algorithm: str = STANDARD, alternatives: Alternatives | None = None) -> DataFrame:
     """(q, d, t, c): a superset of the pairs within n, each once. q, t are the words and d, c what is compared, letter by letter alike.
 
@@ -121,12 +137,20 @@ def candidates(queries: DataFrame, terms: DataFrame, n: int, algorithm: str = ST
     gap = 0 if algorithm == STANDARD else 1
     least = n + 1 + gap * n
     dropped = 2 * n if algorithm == MERGE_AND_SPLIT else n
-    long = _query_keys(queries, n, gap, least, alternatives).join(_term_keys(terms.where(F.length("c") >= least), n, gap, alternatives), ["n", "k", "s"]).select("q", "d", "t", "c")
+    asked, had = _query_keys(queries, n, gap, least, alternatives), _term_keys(terms.where(F.length("c") >= least), n, gap, alternatives)
+    fits = may_be_within(F.col("c"), F.col("d"), n, algorithm)
+    parts = []
+    if dropped <= DROPPED_MOST and (crowded := _crowded(asked, had)) is not None:
+        most = lambda df, *names: df.join(crowded, KEY, "left_semi").select(*names).distinct()
+        drop = lambda df, c: df.withColumn("s", F.explode(deletions(F.col(c), dropped)))
+        parts.append(drop(most(asked, "q", "d"), "d").join(drop(most(had, "t", "c"), "c"), "s").select("q", "d", "t", "c").where(fits))
+        asked, had = asked.join(crowded, KEY, "left_anti"), had.join(crowded, KEY, "left_anti")
+    parts.append(asked.join(had, KEY).select("q", "d", "t", "c").where(fits))
     few = terms.where(F.length("c") < least).select("t", "c", F.explode(deletions(F.col("c"), dropped)).alias("s"))
     near = queries.where(F.length("d") < least + n).select("q", "d", F.explode(deletions(F.col("d"), dropped)).alias("s"))
+    parts.append(near.join(few, "s").select("q", "d", "t", "c").where(fits))
     # a pair may share several keys: the cheap native test comes first, so that only what passes it is made distinct
-    fits = may_be_within(F.col("c"), F.col("d"), n, algorithm)
-    return long.where(fits).unionByName(near.join(few, "s").select("q", "d", "t", "c").where(fits)).distinct()
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def blocks(q: DataFrame, col: str, most: int) -> list[DataFrame]:

@@ -72,6 +72,18 @@ def test_prefix_join_is_exact_and_shuffles_no_prefixes(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted((q, t, d) for (q, t), d in least.items() if d <= n)
 
 
+def test_join_of_numbered_names(spark, monkeypatch):
+    """A segment that all names share is no key: deletions are."""
+    from termweave.operators import join
+
+    monkeypatch.setattr(join, "CROWD", 20)
+    names = [f"Name#{k:05d}" for k in (*range(60), 100, 1000, 10000, 10001)] + ["Name#1", "Nam#00012", "bark"]
+    for algorithm in ("standard", "transposition"):
+        df = similarity_join(table(spark, names, "query"), table(spark, names), 1, algorithm)
+        assert "termweave-crowded" in " ".join(df.inputFiles())
+        assert sorted(map(tuple, df.collect())) == sorted((q, t, d) for q in names for t in names if (d := textbook(q, t, algorithm)) <= 1)
+
+
 def test_restricted(spark):
     got = search.restricted_join(table(spark, ["t3st", "xest"], "query"), table(spark, ["test", "best"]), 0, [("e", "3")]).collect()
     assert [tuple(r) for r in got] == [("t3st", "test", 0)]
