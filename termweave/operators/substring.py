@@ -97,10 +97,33 @@ def _pieces(query: str, n: int) -> list[tuple[str, int]]:
     return out
 
 
+def _sought(query: str, n: int) -> Iterator[tuple[str, tuple]]:
+    """(segment, (query, back, k, left, right)) of n + 1 segments; back: from the segment's last character to the query's start.
+
+    Some segment k is untouched with k operations on its left at most and n - k on its right. So are the two sides: each has a segment, of those
+    for its operations, that stays as it is. left and right: those segments and where they may stand from the query's start; empty if all may.
+    """
+    for k, (piece, at) in enumerate(_pieces(query, n)):
+        end = at + len(piece)
+        left, right = query[:at], query[end:]
+        yield piece, (
+            query, end - 1, k,
+            [(p, o + s) for j, (p, o) in enumerate(_pieces(left, k)) for s in range(j - k, k - j + 1)] if len(left) > k else [],
+            [(p, end + o + s) for j, (p, o) in enumerate(_pieces(right, n - k)) for s in range(-j, j + 1)] if len(right) > n - k else [],
+        )
+
+
+def _there(text: str, first: int, places: list[tuple[str, int]]) -> bool:
+    for p, o in places:
+        if first + o >= 0 and text.startswith(p, first + o):
+            return True
+    return not places
+
+
 def fuzzy_occurrences(docs: DataFrame, queries: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query") -> DataFrame:
     """(query, doc_id, start, term, distance): substrings within n of a query, wherever they stand.
 
-    An automaton finds the segments of the queries; substrings around a hit are candidates, which are compared natively. Queries
+    An automaton finds the segments of the queries; substrings around a hit are candidates if another segment stands beside it, and are compared natively. Queries
     of n characters or fewer have no segments, and all substrings of their length are candidates.
     """
     q = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).alias("query")).distinct()
@@ -114,21 +137,23 @@ def _windows(texts: DataFrame, kind: str, block: list[str], n: int) -> DataFrame
     sent = texts.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments: dict[str, list[tuple[str, int]]] = {}
+        segments: dict[str, list[tuple]] = {}
         short = [w for w in sent.value if len(w) <= n]
         for w in sent.value:
             if len(w) > n:
-                for piece, at in _pieces(w, n):
-                    segments.setdefault(piece, []).append((w, at))
+                for piece, rest in _sought(w, n):
+                    segments.setdefault(piece, []).append(rest)
         seek = _automaton((p, p) for p in segments) if segments else None
         for batch in batches:
             rows, words, starts, terms = [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 spans: set[tuple[str, int, int]] = set()
                 for end, piece in seek.iter(text) if seek else ():
-                    for word, at in segments[piece]:
-                        first = end + 1 - len(piece) - at
-                        spans.update((word, a, size) for a in range(max(0, first - n), first + n + 1) for size in range(max(1, len(word) - n), len(word) + n + 1) if a + size <= len(text))
+                    for word, back, before, left, right in segments[piece]:
+                        first = end - back
+                        if _there(text, first, right) and _there(text, first, left):
+                            last = first + len(word)
+                            spans.update((word, a, e - a) for a in range(max(0, first - before), first + before + 1) for e in range(last - n + before, last + n - before + 1) if a < e <= len(text))
                 for word in short:
                     spans.update((word, a, size) for size in range(1, len(word) + n + 1) for a in range(len(text) - size + 1))
                 for word, a, size in spans:

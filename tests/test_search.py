@@ -116,6 +116,21 @@ def test_substrings(spark):
     assert near == {(20, "test", 1)}
 
 
+def test_fuzzy_occurrences_try_few_substrings(spark):
+    r = random.Random(3)
+    word = lambda most: "".join(r.choice("abé") for _ in range(r.randrange(1, most)))
+    texts, ask = [word(26) for _ in range(12)], {word(9) for _ in range(12)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for n in (0, 1, 2, 3):
+        got = sorted(map(tuple, substring.fuzzy_occurrences(docs, table(spark, ask, "query"), n).collect()))
+        spans = [(k, a, x[a:e]) for k, x in enumerate(texts) for a in range(len(x)) for e in range(a + 1, len(x) + 1)]
+        near = {(q, t): textbook(q, t, "standard") for q in ask for t in {t for *_, t in spans} if abs(len(q) - len(t)) <= n}
+        assert got == sorted((q, k, a, t, near[q, t]) for q in ask for k, a, t in spans if near.get((q, t), n + 1) <= n)
+    one = spark.createDataFrame([(1, "hippopotamus hippodromes xxhippo")], "doc_id int, text string")
+    tried = substring._windows(one.select("doc_id", F.col("text").alias("x")), "int", ["hippopotami"], 1)
+    assert sorted(r.term for r in tried.collect()) == ["hippopotam", "hippopotamu", "hippopotamus"]
+
+
 def test_scopes_and_drafts(spark):
     scopes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (6, 1)], "context_id long, parent_id long")
     seen = {(r.context_id, r.visible_id): r.depth for r in context.visible_scopes(scopes).collect()}
